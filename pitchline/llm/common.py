@@ -120,7 +120,8 @@ def id_crc_mod5(col):
 
 def prefix_sums(buckets: DataFrame, keys: list[str], coarse: str, fine: str, values: list[str]) -> DataFrame:
     """Exclusive running sums of ``values`` (added as ``before_<value>``) over rows
-    that are unique by (keys, coarse, fine), in that order within ``keys``.
+    that are unique by (keys, coarse, fine), in that order within ``keys``; none of
+    these may be null.
 
     Two levels, so that no task gets more than one coarse bucket's rows or one
     row for each coarse bucket.
@@ -132,10 +133,5 @@ def prefix_sums(buckets: DataFrame, keys: list[str], coarse: str, fine: str, val
     tops = buckets.groupBy(*keys, coarse).agg(*(F.sum(v).alias(f"top_{v}") for v in values))
     tops = tops.select(*keys, coarse, *(F.coalesce(F.sum(f"top_{v}").over(outer), F.lit(0)).alias(f"top_{v}") for v in values))
     rows = buckets.select("*", *(F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"in_{v}") for v in values))
-    match = [rows[k].eqNullSafe(tops[k]) for k in [*keys, coarse]]
-    both = rows
-    on = match[0]
-    for m in match[1:]:
-        on = on & m
-    both = rows.join(tops, on)
-    return both.select(*(rows[c] for c in buckets.columns), *((F.col(f"in_{v}") + F.col(f"top_{v}")).alias(f"before_{v}") for v in values))
+    both = rows.join(tops, [*keys, coarse])
+    return both.select(*buckets.columns, *((F.col(f"in_{v}") + F.col(f"top_{v}")).alias(f"before_{v}") for v in values))

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage that has a function of that name.
 MODULES = {
+    "op1_token_counts": "token_counts",
+    "op2_mixing": "mixing",
+    "op3_bpe": "bpe",
+    "op5_sharding": "sharding",
     "op9_quality_rules": "quality",
 }
 
