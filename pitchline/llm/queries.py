@@ -13,6 +13,8 @@ MODULES = {
     "op2_mixing": "mixing",
     "op3_bpe": "bpe",
     "op5_sharding": "sharding",
+    "op6_simhash": "simhash",
+    "op7_embeddings": "embeddings",
     "op9_quality_rules": "quality",
 }
 
