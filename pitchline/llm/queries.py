@@ -12,9 +12,11 @@ MODULES = {
     "op1_token_counts": "token_counts",
     "op2_mixing": "mixing",
     "op3_bpe": "bpe",
+    "op4_warc": "warc",
     "op5_sharding": "sharding",
     "op6_simhash": "simhash",
     "op7_embeddings": "embeddings",
+    "op8_scoring": "scoring",
     "op9_quality_rules": "quality",
 }
 
