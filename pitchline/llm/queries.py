@@ -18,6 +18,7 @@ MODULES = {
     "op7_embeddings": "embeddings",
     "op8_scoring": "scoring",
     "op9_quality_rules": "quality",
+    "op10_toxicity": "toxicity",
 }
 
 
