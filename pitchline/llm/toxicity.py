@@ -338,6 +338,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` not predicted toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.text(t.as_py() or "") < 0 for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", (id_crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
