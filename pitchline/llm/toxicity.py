@@ -10,7 +10,8 @@ Character model: trigrams of the whole corpus, mixed with those of the learned w
 over 64 character classes, so at most 2^18 counts whatever the corpus. Score: words and
 their first four to six letters are features; each has two readings, "marks toxic
 texts" and "has no bearing", weighed by the labelled texts with and without it, with a
-prior of few marks among all features seen. A document's score is that of its
+prior of few marks among all features seen. A mark must also be right in
+``LEAST_PRECISION`` of the texts that hold it. A document's score is that of its
 strongest feature. Only features likelier to be marks than not are kept.
 
 Labels come only from rows whose crc32 of the id modulo 5 is not 0, at most
@@ -40,6 +41,7 @@ from .common import CACHE_WORDS, WordHashes, id_crc_mod5, mixed, paired, staged,
 MAX_LABELLED = 40_000
 #: Of toxic texts that hold a mark, and of marks among the features seen.
 MARK_PRECISION = 0.97
+LEAST_PRECISION = 0.93
 MARKS_EXPECTED = 20.0
 PREFIXES = (4, 5, 6)
 NO_MARK = -4.0
@@ -118,7 +120,7 @@ class CharModel:
                 run += 1
             if c in STANDS_FOR and c not in SEPARATORS:
                 cost = COST_WILD if len(STANDS_FOR[c]) > 2 else COST_SIGN
-                out += [[(x, cost) for x in STANDS_FOR[c]] + [(" ", COST_DROP), ("", COST_DROP)]] * min(run, 2)
+                out += [[(x, cost) for x in STANDS_FOR[c]] + [("", COST_DROP)]] * min(run, 2)
                 out += [[("", 0.0)]] * (run - min(run, 2))
             elif c in SEPARATORS:
                 wild = [(x, COST_WILD) for x in STANDS_FOR.get(c, "")] if run == 1 else []
@@ -317,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABELLED) -> tu
     trials = found.count()
     prior = min(0.5, MARKS_EXPECTED / max(trials, 1))
     odds = F.lit(math.log(prior / (1 - prior))) + F.col("n_toxic") * F.lit(math.log(MARK_PRECISION / base)) + (F.col("n") - F.col("n_toxic")) * F.lit(math.log((1 - MARK_PRECISION) / (1 - base)))
-    marks = found.select("feature", odds.alias("odds")).where("odds > 0").collect()  # marks of at most MAX_LABELLED texts
+    marks = found.withColumn("odds", odds).where(f"odds > 0 AND n_toxic >= {LEAST_PRECISION} * n").collect()  # marks of at most MAX_LABELLED texts
     odds = {r.feature: min(r.odds, 12.0) for r in marks}
     return CharModel(cells, [f for f in odds if not f.endswith("~")]), odds
 
