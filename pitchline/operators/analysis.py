@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,11 +51,8 @@ def bootstrap_by_count(res: DataFrame, cap: int, resamples: int = 2000, seed: in
     size = rows.groupBy("g").agg(F.count("*").alias("n"))
 
     def sums(batches):
-        import os
-
         for pdf in batches:
-            key = int(abs(hash((len(pdf), float(pdf.residual.sum()), os.environ.get("PYTHONHASHSEED", "")))) % (1 << 31))
-            rng = np.random.default_rng([seed, key])
+            rng = np.random.default_rng([seed, zlib.crc32(pdf.residual.to_numpy().tobytes())])
             for g, part in pdf.groupby("g"):
                 w = rng.poisson(1.0, (resamples, len(part)))
                 yield pd.DataFrame({"g": g, "b": np.arange(resamples), "s": w @ part.residual.to_numpy(), "w": w.sum(axis=1).astype(float)})

@@ -256,7 +256,7 @@ def mi_discrete_target(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
         near = min(k, len(own) - 1)
         wide = np.pad(own, near, constant_values=(-np.inf, np.inf))
         ahead = np.stack([np.abs(wide[s : s + len(own)] - own) for s in range(2 * near + 1) if s != near])
-        radius = np.nextafter(np.sort(ahead, axis=0)[near - 1], 0)
+        radius = np.sort(ahead, axis=0)[near - 1] * (1 - 1e-9)  # the neighbour itself stays outside
         ms.append(np.searchsorted(order, own + radius, "right") - np.searchsorted(order, own - radius, "left"))
         ks.append(np.full(len(own), near))
         ns.append(np.full(len(own), len(own)))
