@@ -189,6 +189,8 @@ def archive_and_read(pages: DataFrame, page_id_type: str) -> DataFrame:
         F.when(F.col("response.type") == "revisit", F.col("metadata.fields")["payloadBytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
     )
     targets = rows.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
+    # a response refers to nothing: a key of its own, or all of them would meet in one task
+    rows = rows.withColumn("to", F.coalesce("to", F.concat(F.lit("-"), F.col("capture_id"))))
     digest = F.when(F.col("record_type") == "revisit", F.col("declared")).otherwise(F.col("own"))
     return rows.join(targets, "to", "left").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
