@@ -37,6 +37,10 @@ BEGIN = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 #: Pairs that a map task gathers before it passes their counts on.
 GATHER = 2_000_000
+#: Per-word sums that a reduce task holds together before it passes them on.
+HOLD = 2_000_000
+#: Mapped arrays that a worker keeps at once; systems allow some 65,000.
+MAX_MAPS = 40_000
 #: Bytes of text for each range of the arrays.
 RANGE_BYTES = 8 << 20
 #: Texts are scored so many tokens at a time.
@@ -91,16 +95,15 @@ def _pair_blocks(ranges: int):
         count = np.diff(np.append(first, len(key)))
         key, v, w = key[first], v[order[first]], w[order[first]]
         edge = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
-        blocks = []
-        for k in range(ranges):
+        blocks, full = [], np.flatnonzero(np.diff(edge)).tolist()
+        for k in full:
             s = slice(edge[k], edge[k + 1])
             order = np.argsort(v[s])
             contexts, runs = np.unique(v[s][order], return_counts=True)
             words, at = np.unique(w[s][order], return_inverse=True)
             blocks.append(pack(contexts, runs, words, at, count[s][order]))
-        full = [k for k in range(ranges) if edge[k] < edge[k + 1]]
         for k in range(0, len(full), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 16], pa.int32()), pa.array([blocks[x] for x in full[k : k + 16]], pa.binary())], ["range", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 16], pa.int32()), pa.array(blocks[k : k + 16], pa.binary())], ["range", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, v, w, n = WordHashes(), [], [], 0
@@ -143,13 +146,30 @@ def store(folder: str, name: str, array: np.ndarray) -> None:
 def _pair_arrays(folder: str, ranges: int):
     """Blocks of pairs to stored arrays; passes on blocks of per-word sums."""
 
+    def flush(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        """The sums of several ranges together: fewer and larger blocks."""
+        out = []
+        for tag, parts in held.items():
+            h, *sums = summed(*(np.concatenate(x) for x in zip(*parts)))
+            edge = np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(edge)).tolist():
+                s = slice(edge[r], edge[r + 1])
+                out.append((2 * r + tag, pack(h[s], *(x[s] for x in sums))))
+        for k in range(0, len(out), 1000):
+            yield batch(out[k : k + 1000])
+
+    def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slot", "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
         for k, blobs in by_range(batches):
             v, w, c = [], [], []
             for contexts, runs, words, at, count in map(unpack, blobs):
                 v.append(np.repeat(contexts.astype(np.uint64), runs))
                 w.append(words.astype(np.uint64)[at])
-                c.append(count.astype(np.uint32))
+                c.append(count.astype(np.int64))
             v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
             key = paired(v, w)
             order = np.argsort(key)
@@ -158,17 +178,17 @@ def _pair_arrays(folder: str, ranges: int):
             key, v, w, c = key[first], v[first], w[first], np.add.reduceat(c.astype(np.int64), first)
             store(folder, f"pair-key-{k}", key)
             store(folder, f"pair-count-{k}", c.astype(np.min_scalar_type(int(c.max()))))
-            contexts = summed(v, c, c == 1, c == 2, c >= 3)
-            tokens = summed(w, np.ones(len(w), np.int64), c)
             seen = np.bincount(np.minimum(c, 5), minlength=6)[1:5]  # counts of counts 1 to 4
-            out = [(-1, pack(seen))]
-            for tag, (h, *sums) in ((0, contexts), (1, tokens)):
-                edge = np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
-                for r in range(ranges):
-                    if edge[r] < edge[r + 1]:
-                        s = slice(edge[r], edge[r + 1])
-                        out.append((2 * r + tag, pack(h[s], *(x[s] for x in sums))))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["slot", "block"])
+            yield batch([(-1, pack(seen))])
+            narrow = lambda x: tuple(a if a.dtype == np.uint64 else a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in x)
+            own = narrow(summed(v, c, c == 1, c == 2, c >= 3)), narrow(summed(w, np.ones(len(w), np.int64), c))
+            for tag, part in enumerate(own):
+                held.setdefault(tag, []).append(part)
+                size += len(part[0])
+            if size >= HOLD:
+                yield from flush(held)
+                held, size = {}, 0
+        yield from flush(held)
 
     return run
 
@@ -216,6 +236,8 @@ class Model:
 
     def mapped(self, name: str) -> np.ndarray | None:
         if name not in self.maps:
+            if len(self.maps) >= MAX_MAPS:
+                self.maps.clear()
             path = f"{self.folder}/{name}.npy"
             self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[name]
