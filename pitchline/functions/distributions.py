@@ -38,33 +38,39 @@ def nb_n_p(mu: Column, alpha: Column) -> tuple[Column, Column]:
     return n, n / (n + mu)
 
 
-def pmf(mu: Column, k_max: int, family: str = "poisson", alpha: Column | None = None) -> Column:
-    """Probabilities of 0..k_max."""
+def cells(mu: Column, k_max: int, family: str = "poisson", alpha: Column | None = None) -> list[Column]:
+    """Probabilities of 0..k_max, one expression each."""
     check_family(family, alpha)
     if family == "poisson":
-        return F.array(*(F.exp(-mu) * F.pow(mu, F.lit(float(k))) / F.lit(float(math.factorial(k))) for k in range(k_max + 1)))
+        return [F.exp(-mu) * F.pow(mu, F.lit(float(k))) / F.lit(float(math.factorial(k))) for k in range(k_max + 1)]
     n, p = nb_n_p(mu, alpha)
-    cells, coefficient = [], F.lit(1.0)
+    out, coefficient = [], F.lit(1.0)
     for k in range(k_max + 1):
-        cells.append(coefficient * F.pow(p, n) * F.pow(F.lit(1.0) - p, F.lit(float(k))))
+        out.append(coefficient * F.pow(p, n) * F.pow(F.lit(1.0) - p, F.lit(float(k))))
         coefficient = coefficient * (n + F.lit(float(k))) / F.lit(float(k + 1))
-    return F.array(*cells)
+    return out
+
+
+def pmf(mu: Column, k_max: int, family: str = "poisson", alpha: Column | None = None) -> Column:
+    """Probabilities of 0..k_max as an array."""
+    return F.array(*cells(mu, k_max, family, alpha))
 
 
-def running(grid: Column) -> Column:
-    """Prefix sums of an array."""
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("a"))
-    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"] + x)).alias("a"))
-    return F.aggregate(grid, start, step, lambda acc: acc["a"])
+def prefix(terms: list[Column]) -> list[Column]:
+    """Running sums."""
+    out: list[Column] = []
+    for t in terms:
+        out.append(out[-1] + t if out else t)
+    return out
 
 
 def cdf(mu: Column, k_max: int, family: str = "poisson", alpha: Column | None = None) -> Column:
-    return running(pmf(mu, k_max, family, alpha))
+    return F.array(*prefix(cells(mu, k_max, family, alpha)))
 
 
 def survival(mu: Column, threshold: int, family: str = "poisson", alpha: Column | None = None) -> Column:
     """P(X > threshold)."""
-    return F.lit(1.0) - total(pmf(mu, threshold, family, alpha))
+    return F.lit(1.0) - prefix(cells(mu, threshold, family, alpha))[-1]
 
 
 def total(grid: Column) -> Column:
@@ -105,6 +111,13 @@ def total_pmf(mu_a: Column, mu_b: Column, k_max: int, family: str = "poisson", a
     return convolve(pmf(mu_a, k_max, family, alpha_a), pmf(mu_b, k_max, family, alpha_b), k_max, renormalize)
 
 
+def total_cells(a: Column, b: Column, k_max: int, up_to: int | None = None) -> list[Column]:
+    """Cells 0..up_to of the convolution of two array columns, one expression each: for
+    grids that are columns already this stays in generated code."""
+    last = 2 * k_max if up_to is None else min(up_to, 2 * k_max)
+    return [prefix([a[i] * b[t - i] for i in range(max(0, t - k_max), min(t, k_max) + 1)])[-1] for t in range(last + 1)]
+
+
 def total_survival(grid: Column, threshold: float | Column) -> Column:
     """P(total > threshold) of a grid from 0 on."""
     kept = F.filter(F.transform(grid, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] > threshold)
@@ -133,5 +146,5 @@ def nb_from_concentration_rate(concentration: Column, rate: Column) -> tuple[Col
 
 def rps_count(y: Column, mu: Column, k_max: int, family: str = "poisson", alpha: Column | None = None) -> Column:
     """Ranked probability score over 0..k_max, not divided by the number of classes."""
-    terms = F.transform(cdf(mu, k_max, family, alpha), lambda c, k: F.pow(c - F.when(k >= y, 1.0).otherwise(0.0), F.lit(2.0)))
-    return total(terms)
+    terms = [F.pow(c - F.when(y <= k, 1.0).otherwise(0.0), F.lit(2.0)) for k, c in enumerate(prefix(cells(mu, k_max, family, alpha)))]
+    return prefix(terms)[-1]

@@ -31,17 +31,30 @@ def poisson_deviance(y: Column, mu: Column) -> Column:
     return 2 * F.avg(F.when(y > 0, y * F.log(y / m)).otherwise(0.0) - (y - m))
 
 
+def with_grids(df: DataFrame, k_max: int, mu: tuple[str, str], family: str, alpha: tuple[str, str] | None, keep: list) -> DataFrame:
+    """(keep..., grid_a, grid_b): both components' probabilities, computed once a row."""
+    a = [F.col(x) for x in alpha] if alpha else [None, None]
+    return df.select(*keep, *(D.pmf(F.col(m), k_max, family, x).alias(n) for m, x, n in zip(mu, a, ("grid_a", "grid_b"))))
+
+
 def over_under(df: DataFrame, thresholds: list[float], k_max: int, y: tuple[str, str] = ("y_home", "y_away"), mu: tuple[str, str] = ("mu_home", "mu_away"), family: str = "poisson", alpha: tuple[str, str] | None = None, method: str = "convolution") -> DataFrame:
     """(threshold, p_pred_mean, p_real, abs_error, n_over, n_samples): predicted against
     observed frequency of totals over each threshold. One aggregation without an explode
     of rows: a partial sum per threshold."""
-    a = [F.col(x) for x in alpha] if alpha else [None, None]
-    grid = D.total_pmf(F.col(mu[0]), F.col(mu[1]), k_max, family, a[0], a[1], method)
-    rows = df.select((F.col(y[0]) + F.col(y[1])).alias("total"), grid.alias("grid"))
+    total = (F.col(y[0]) + F.col(y[1])).alias("total")
+    if method == "convolution":
+        rows = with_grids(df, k_max, mu, family, alpha, [total])
+        most = max(math.floor(t) for t in thresholds)
+        below = D.prefix(D.total_cells(F.col("grid_a"), F.col("grid_b"), k_max, most))
+        sums = [D.prefix([F.col(g)[k] for k in range(k_max + 1)])[-1] for g in ("grid_a", "grid_b")]
+        rows = rows.select("total", (sums[0] * sums[1]).alias("mass"), *(below[min(math.floor(t), 2 * k_max)].alias(f"b_{k}") for k, t in enumerate(thresholds)))
+        over = [1 - F.col(f"b_{k}") / F.col("mass") for k in range(len(thresholds))]
+    else:
+        rows = df.select(total, D.total_pmf(F.col(mu[0]), F.col(mu[1]), k_max, family, method=method).alias("grid"))
+        over = [D.total(F.slice("grid", int(math.floor(t)) + 2, 2 * k_max + 1)) for t in thresholds]
     aggs = []
-    for t in thresholds:
-        above = F.slice("grid", int(math.floor(t)) + 2, 2 * k_max + 1)
-        aggs += [F.avg(D.total(above)).alias(f"p_{t}"), F.count_if(F.col("total") > t).alias(f"n_{t}")]
+    for t, o in zip(thresholds, over):
+        aggs += [F.avg(o).alias(f"p_{t}"), F.count_if(F.col("total") > t).alias(f"n_{t}")]
     wide = rows.agg(F.count("*").alias("n_samples"), *aggs)
     long = wide.select("n_samples", F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"`p_{t}`").alias("p_pred_mean"), F.col(f"`n_{t}`").alias("n_over")) for t in thresholds))).alias("x")).select("n_samples", "x.*")
     real = F.col("n_over") / F.col("n_samples")
