@@ -63,13 +63,11 @@ def over_under(df: DataFrame, thresholds: list[float], k_max: int, y: tuple[str,
 
 def evaluate_counts(df: DataFrame, thresholds: list[float], k_max: int, family: str = "poisson") -> DataFrame:
     """One row: NLL and RPS of both components, and the mean calibration error."""
-    nb = family == "negbin"
-    out = None
+    nb, scores = family == "negbin", []
     for side in ("home", "away"):
-        mu, y, alpha = f"mu_{side}", f"y_{side}", f"alpha_{side}" if nb else None
-        a = F.col(alpha) if alpha else None
-        part = df.agg((-F.avg(D.log_pmf(F.col(y), F.col(mu), family, a))).alias(f"nll_{side}"), F.avg(D.rps_count(F.col(y), F.col(mu), k_max, family, a)).alias(f"rps_{side}"))
-        out = part if out is None else out.crossJoin(part)  # one row each
+        y, mu, a = F.col(f"y_{side}"), F.col(f"mu_{side}"), F.col(f"alpha_{side}") if nb else None
+        scores += [(-F.avg(D.log_pmf(y, mu, family, a))).alias(f"nll_{side}"), F.avg(D.rps_count(y, mu, k_max, family, a)).alias(f"rps_{side}")]
+    out = df.agg(*scores)
     ece = over_under(df, thresholds, k_max, family=family, alpha=("alpha_home", "alpha_away") if nb else None).agg(F.avg("abs_error").alias("ece_global"), F.max("n_samples").alias("n_samples"))
     return out.crossJoin(ece)  # one row each
 

@@ -14,6 +14,7 @@ from .fixtures import view, with_views
 from .functions import distributions as D
 from .functions import probability as P
 from .operators import analysis, encoding, metrics, preparation, statistics, temporal
+from .streaming import drift
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -164,7 +165,10 @@ def block_bounds_agg(v, spark, d):
     return rows.groupBy(temporal.block_of("rix", rows.count(), 7).alias("block")).agg(F.count("*").alias("n"), F.min("rix").alias("lo"), F.max("rix").alias("hi"))
 
 
-@query()
+@query(f"""
+WITH o AS ({ORDERED}), b AS (SELECT CAST(floor(s * n / 10.0) AS BIGINT) AS lo, CAST(floor((s + 1) * n / 10.0) AS BIGINT) - 1 AS hi, n FROM (SELECT max(n) AS n FROM o), (SELECT unnest(range(0, 10)) AS s)),
+t AS (SELECT DISTINCT CASE WHEN n <= 200 THEN lo + i WHEN hi - lo + 1 <= 20 THEN lo + i ELSE CAST(floor(lo + i * ((hi - lo) / 19.0)) AS BIGINT) END AS rix, lo, hi FROM b, (SELECT unnest(range(0, 20)) AS i))
+SELECT rix, match_id FROM o WHERE rix IN (SELECT rix FROM t WHERE rix <= hi)""")
 def strata_sample(v, spark, d):
     rows = _ordered(v)
     return temporal.strata_sample(rows, rows.count(), 200, 10).select("rix", "match_id")
@@ -194,6 +198,22 @@ def target_encoding_val(v, spark, d):
     return encoding.target_encoding(rows.where("split = 'train'"), rows.where("split = 'val'"), "tournament", "y").select("match_id", "te")
 
 
+@query(f"""
+WITH o AS ({ORDERED}), b AS (SELECT o.*, CAST(fold AS INT) AS fold, n - (3 - fold) * (n // 4) AS a, n // 4 AS ts, CAST(match_id % 3 AS DOUBLE) AS y FROM o, (SELECT unnest(range(0, 3)) AS fold)),
+g AS (SELECT fold, avg(y) AS g FROM b WHERE rix < a GROUP BY ALL), s AS (SELECT fold, tournament, sum(y) AS s, count(y) AS c FROM b WHERE rix < a AND tournament IS NOT NULL GROUP BY ALL)
+SELECT b.fold, b.tournament, {_r('avg(coalesce((s + 20 * g) / (c + 20), g))', 'te')}, count(*) AS n FROM b JOIN g ON b.fold = g.fold LEFT JOIN s ON b.fold = s.fold AND b.tournament = s.tournament WHERE rix >= a AND rix < a + ts GROUP BY ALL""")
+def in_fold_target_encoding(v, spark, d):
+    """Each fold's validation rows, encoded from its own training rows."""
+    rows = _ordered(v).withColumn("y", (F.col("match_id") % 3).cast("double"))
+    parts = temporal.tscv_folds(rows, 3)
+    out = None
+    for f in range(3):
+        one = parts.where(F.col("fold") == f)
+        enc = encoding.target_encoding(one.where("role = 'train'"), one.where("role = 'valid'"), "tournament", "y", 20.0).groupBy("fold", "tournament").agg(F.avg("te").alias("te"), F.count("*").alias("n"))
+        out = enc if out is None else out.unionByName(enc)
+    return out
+
+
 @query("WITH l AS (SELECT tournament, row_number() OVER (ORDER BY tournament) - 1 AS code FROM (SELECT DISTINCT tournament FROM matches WHERE tournament IS NOT NULL AND tournament <> '5-LOW')) SELECT match_id, CAST(coalesce(code, -1) AS INT) AS code FROM matches LEFT JOIN l USING (tournament)")
 def category_codes(v, spark, d):
     m = v("matches")
@@ -268,6 +288,16 @@ def over_under_ece(v, spark, d):
     return metrics.over_under(v("predcnt"), THRESHOLDS, K)
 
 
+@query(f"""
+WITH g AS (SELECT y_home + y_away AS y, {_grid(_nb('mu_home', 'alpha_home', 'k'))} AS a, {_grid(_nb('mu_away', 'alpha_away', 'k'))} AS b FROM predcnt), c AS (SELECT y, {CONVOLVED} AS g FROM g),
+s AS (SELECT threshold, avg(list_sum(list_slice(g, CAST(floor(threshold) AS INT) + 2, 17)) / list_sum(g)) AS p, count(CASE WHEN y > threshold THEN 1 END) / count(*) AS p_real, count(*) AS n FROM c, (SELECT unnest([0.5, 1.5, 2.5]::DOUBLE[]) AS threshold) GROUP BY ALL),
+h AS (SELECT avg(rps) AS rps FROM ({_residuals('home')})), w AS (SELECT avg(rps) AS rps FROM ({_residuals('away')})),
+l AS (SELECT -avg(ln({_nb('mu_home', 'alpha_home', 'y_home')})) AS nh, -avg(ln({_nb('mu_away', 'alpha_away', 'y_away')})) AS na FROM predcnt)
+SELECT {_r('nh', 'nll_home')}, {_r('na', 'nll_away')}, {_r('h.rps', 'rps_home')}, {_r('w.rps', 'rps_away')}, {_r('e.ece', 'ece_global')}, e.n AS n_samples FROM (SELECT avg(abs(p - p_real)) AS ece, max(n) AS n FROM s) e, h, w, l""")
+def evaluate_counts(v, spark, d):
+    return metrics.evaluate_counts(v("predcnt"), [0.5, 1.5, 2.5], K, "negbin")
+
+
 @query(f"WITH r AS ({_residuals()}) SELECT {_r('avg(rps)', 'mean')}, {_r('stddev_pop(rps)', 'std')}, {_r('median(rps)', 'median')}, {_r('quantile_cont(rps, 0.95)', 'p95')}, count(rps) AS n FROM r")
 def rps_count_report(v, spark, d):
     return metrics.summary(metrics.count_rps(v("predcnt"), "y_home", "mu_home", K, "negbin", "alpha_home"), "rps")
@@ -280,15 +310,22 @@ def nll_count(v, spark, d):
     return a.withColumn("family", F.lit("poisson")).unionByName(b.withColumn("family", F.lit("negbin"))).select("family", "nll", "n")
 
 
+def _both_nll(v) -> DataFrame:
+    return v("predcnt").agg((-F.avg(D.log_pmf(F.col("y_home"), F.col("mu_home")))).alias("a"), (-F.avg(D.log_pmf(F.col("y_home"), F.col("mu_home"), "negbin", F.col("alpha_home")))).alias("b"), F.count("*").alias("n"))
+
+
 @query()
 def lr_test(v, spark, d):
-    p = v("predcnt")
-    both = p.agg((-F.avg(D.log_pmf(F.col("y_home"), F.col("mu_home")))).alias("a"), (-F.avg(D.log_pmf(F.col("y_home"), F.col("mu_home"), "negbin", F.col("alpha_home")))).alias("b"), F.count("*").alias("n"))
-    lr = both.select((2 * F.col("n") * (F.col("a") - F.col("b"))).alias("lr"))
+    lr = _both_nll(v).select((2 * F.col("n") * (F.col("a") - F.col("b"))).alias("lr"))
     out = lr.withColumn("p_value", 0.5 * P.chi2_1_sf("lr"))
     return out.withColumn("family", F.when(F.col("p_value") < 0.01, "negbin").otherwise("poisson"))
 
 
+@query(f"WITH x AS (SELECT avg(y_home * ln(mu_home) - mu_home - lgamma(y_home + 1)) AS a, avg(ln({_nb('mu_home', 'alpha_home', 'y_home')})) AS b, count(*) AS n FROM predcnt) SELECT round(2 * n * (b - a), 3) + 0.0 AS lr, n FROM x")
+def lr_statistic(v, spark, d):
+    return _both_nll(v).select(F.round(2 * F.col("n") * (F.col("a") - F.col("b")), 3).alias("lr"), "n")
+
+
 @query(f"SELECT {_r('2 * avg(CASE WHEN y_home > 0 THEN y_home * ln(y_home / mu_home) ELSE 0 END - (y_home - mu_home))', 'deviance')} FROM predcnt")
 def poisson_deviance(v, spark, d):
     return v("predcnt").agg(metrics.poisson_deviance(F.col("y_home"), F.col("mu_home")).alias("deviance"))
@@ -576,3 +613,14 @@ def mi_discrete(v, spark, d):
 @query()
 def mi_knn(v, spark, d):
     return statistics.mutual_information(v("feat_long"), "label")
+
+
+# monitoring -----------------------------------------------------------------
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {_r('avg(value)', 'mean')}, {_r('stddev_samp(value)', 'std')} FROM events GROUP BY ALL")
+def drift_windows(v, spark, d):
+    """The streaming plan over a batch: events by day and type."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drift.drift_stream(e, "ts", "value", "event_type")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean", "std")
