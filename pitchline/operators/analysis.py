@@ -122,6 +122,20 @@ def brier(df: DataFrame, p: str, y: str, outcome: int, by: list[str]) -> DataFra
     return df.groupBy(*by).agg(F.avg(F.pow(F.col(p) - (F.col(y) == outcome).cast("double"), F.lit(2.0))).alias("brier"))
 
 
+def class_calibration(df: DataFrame, by: list[str], least_std: float = 0.01) -> DataFrame:
+    """(by..., outcome, bin, n, conf, acc): a calibration curve for each class whose
+    probabilities vary by more than ``least_std``; the spread follows from the bins' sums,
+    so rows are read once."""
+    rows = metrics.by_class(df, PROBS, "y_true", by).withColumn("bin", P.bin_index(F.col("p")))
+    keys = [*by, "outcome"]
+    bins = rows.groupBy(*keys, "bin").agg(F.count("p").alias("n"), F.avg("p").alias("conf"), F.avg(F.col("hit").cast("double")).alias("acc"), F.coalesce(F.var_pop("p"), F.lit(0.0)).alias("within"))
+    curve = Window.partitionBy(*keys)
+    total = F.sum("n").over(curve)
+    bins = bins.withColumn("mean", F.sum(F.col("n") * F.col("conf")).over(curve) / total).withColumn("total", total)
+    spread = F.sum(F.col("n") * (F.col("within") + F.pow(F.col("conf") - F.col("mean"), F.lit(2.0)))).over(curve) / F.col("total")
+    return bins.withColumn("spread", F.sqrt(spread)).where(F.col("spread") > least_std).select(*keys, "bin", "n", "conf", "acc")
+
+
 def segment_rps(df: DataFrame, group: str, top: int = 10) -> DataFrame:
     return with_rps(df).where(F.col(group).isNotNull()).groupBy(group).agg(F.avg("rps").alias("rps_mean"), F.count("*").alias("n")).orderBy(F.desc("rps_mean"), group).limit(top)
 
@@ -154,6 +168,21 @@ def model_correlation(df: DataFrame, p: str, key: str = "match_id", model: str =
     return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
 
 
+def class_correlation(df: DataFrame, key: str = "match_id", model: str = "model") -> DataFrame:
+    """(outcome, a, b, corr) of two models' probabilities of each class, in one join."""
+    side = lambda name, x: df.select(key, F.col(model).alias(name), *(F.col(c).alias(f"{x}{k}") for k, c in enumerate(PROBS)))
+    pairs = side("a", "x").join(side("b", "y"), key).where("a < b").groupBy("a", "b").agg(*(F.corr(f"x{k}", f"y{k}").alias(str(k)) for k in range(len(PROBS))))
+    return pairs.unpivot(["a", "b"], [str(k) for k in range(len(PROBS))], "outcome", "corr").select(F.col("outcome").cast("int").alias("outcome"), "a", "b", "corr")
+
+
+def diversity(df: DataFrame, key: str = "match_id", model: str = "model") -> DataFrame:
+    """(kind, agreement, diversity): the mean over pairs of models of each class's
+    correlation and of the rank correlation, and one less that."""
+    by_class = class_correlation(df, key, model).groupBy(F.concat(F.lit("class "), F.col("outcome").cast("string")).alias("kind")).agg(F.avg("corr").alias("agreement"))
+    by_rank = rank_agreement(df, key, model).agg(F.avg("rho").alias("agreement")).select(F.lit("rank").alias("kind"), "agreement")
+    return by_class.unionByName(by_rank).withColumn("diversity", 1 - F.col("agreement"))
+
+
 def rank_agreement(df: DataFrame, key: str = "match_id", model: str = "model") -> DataFrame:
     """(a, b, rho): mean rank correlation of two models' three probabilities by row, equal
     ones ranked in class order; 1 - sum d^2 / 4 for three ranks."""

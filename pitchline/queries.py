@@ -431,6 +431,25 @@ def rank_agreement(v, spark, d):
     return analysis.rank_agreement(v("pred1x2"))
 
 
+PAIRS = "pred1x2 a JOIN pred1x2 b ON a.match_id = b.match_id AND a.model < b.model"
+BY_CLASS = f"SELECT o AS outcome, a.model AS a, b.model AS b, CASE o WHEN 0 THEN corr(a.p0, b.p0) WHEN 1 THEN corr(a.p1, b.p1) ELSE corr(a.p2, b.p2) END AS corr FROM {PAIRS}, (SELECT unnest([0, 1, 2]) AS o) GROUP BY o, a.model, b.model"
+
+
+@query(f"WITH s AS (SELECT model, outcome FROM ({CLASSES}) GROUP BY ALL HAVING stddev_pop(p) > 0.01) SELECT model, outcome, bin, n, {_r('conf', 'conf')}, {_r('acc', 'acc')} FROM ({BINS}) JOIN s USING (model, outcome)")
+def class_calibration(v, spark, d):
+    return analysis.class_calibration(v("pred1x2"), ["model"])
+
+
+@query(f"WITH c AS ({BY_CLASS}) SELECT outcome, a, b, {_r('corr', 'corr')} FROM c")
+def class_correlation(v, spark, d):
+    return analysis.class_correlation(v("pred1x2"))
+
+
+@query(f"WITH c AS ({BY_CLASS}), r AS ({_RANKS}), p AS (SELECT avg(1 - (pow(a.r0 - b.r0, 2) + pow(a.r1 - b.r1, 2) + pow(a.r2 - b.r2, 2)) / 4) AS rho FROM r a JOIN r b ON a.match_id = b.match_id AND a.model < b.model GROUP BY a.model, b.model), u AS (SELECT 'class ' || outcome AS kind, avg(corr) AS x FROM c GROUP BY ALL UNION ALL SELECT 'rank', avg(rho) FROM p) SELECT kind, {_r('x', 'agreement')}, {_r('1 - x', 'diversity')} FROM u")
+def model_diversity(v, spark, d):
+    return analysis.diversity(v("pred1x2"))
+
+
 @query(f"WITH s AS (SELECT match_id, count(DISTINCT pred) > 1 AS hard, avg(rps) AS rps FROM ({SCORED}) GROUP BY ALL) SELECT hard, count(*) AS n, {_r('avg(rps)', 'rps_mean')} FROM s GROUP BY ALL")
 def disagreement(v, spark, d):
     return analysis.disagreement(v("pred1x2"))
