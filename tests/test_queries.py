@@ -1,8 +1,11 @@
 """Every query with SQL gives DuckDB's rows; the others run."""
 
+import os
+
 import duckdb
 import pytest
 
+import __spark_entry__
 from pitchline import model_queries, queries
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -33,3 +36,8 @@ def test_query_runs(spark, sf_dir, name):
 
 def test_names_do_not_clash():
     assert not set(queries._QUERIES) & set(model_queries.queries())
+
+
+def test_workers_find_the_package(spark, sf_dir):
+    __spark_entry__.queries()["label_1x2"](spark, sf_dir)
+    assert __spark_entry__.ROOT in spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
