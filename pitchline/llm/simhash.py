@@ -140,10 +140,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", "h", "fp", "component_id", "first_h")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def one_of_each_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id
-    (of rows that agree in id and text, one)."""
-    groups = simhash_groups(docs)
+    (of rows that agree in id and text, one). ``groups`` if not those by fingerprint."""
+    groups = simhash_groups(docs) if groups is None else groups
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     both = docs.withColumn("_text_h", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")))
     one = Window.partitionBy("doc_id", "_text_h").orderBy("_text_h")
