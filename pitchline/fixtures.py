@@ -53,10 +53,10 @@ FROM halves h""",
     "feat_long": """
 SELECT vec_id AS rix, CAST(pos AS INT) AS feature, CAST(val AS DOUBLE) AS value, label
 FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, val""",
-    "nullimp": "SELECT rix AS run, feature, abs(value) AS imp FROM feat_long WHERE rix < 300",
+    "nullimp": "SELECT rix AS run, feature, abs(value) AS imp FROM feat_long",
     "realimp": """
 SELECT feature, max(abs(value)) * (0.6 + (feature % 3) / CAST(4 AS DOUBLE)) AS imp_real
-FROM feat_long WHERE rix BETWEEN 300 AND 399 GROUP BY feature""",
+FROM feat_long GROUP BY feature""",
 }
 
 DUCKDB_ONLY = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import probability as P
-from . import metrics, statistics
+from . import metrics, ordering, statistics
 
 # -- counts ------------------------------------------------------------------
 
@@ -43,28 +43,47 @@ def residual_by_count(res: DataFrame, cap: int) -> DataFrame:
     return out.select(F.when(F.col("g") == cap, F.concat(F.col("g").cast("string"), F.lit("+"))).otherwise(F.col("g").cast("string")).alias("y_true"), "n", "residual_mean")
 
 
-def bootstrap_by_count(res: DataFrame, cap: int, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(g, ci_low, ci_high): percentile interval of the mean residual. A resample is a
-    draw of Poisson(1) weights by row, so groups of any size resample in parallel with
-    partial sums; groups under five rows have none."""
-    rows = res.select(F.least("y_true", F.lit(cap)).cast("int").alias("g"), F.col("residual").cast("double").alias("residual"))
+def bootstrap_by_count(res: DataFrame, cap: int, resamples: int = 2000, seed: int = 42, key: str | None = None) -> DataFrame:
+    """(g, ci_low, ci_high): percentile interval of the mean residual by observed
+    count, from ``cap`` on in one group. A resample is a draw of Poisson(1) weights by
+    row, so groups of any size resample in parallel with partial sums. A row's draws
+    follow from its key (or, without one, its position by count and residual), so they
+    are the same however rows are dealt out; groups under five rows have no interval."""
+    rows = res.select(*([key] if key else []), F.least("y_true", F.lit(cap)).cast("int").alias("g"), F.col("residual").cast("double").alias("residual"))
+    if key is None:
+        rows, key = ordering.row_index(rows, ["g", "residual"], "_key"), "_key"
+    rows = rows.select("g", "residual", F.xxhash64(key, F.lit(seed)).alias("h"))
     size = rows.groupBy("g").agg(F.count("*").alias("n"))
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+    streams = (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        x = h.view(np.uint64)[None, :] ^ streams
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return np.searchsorted(cuts, (x >> np.uint64(11)) * 2.0**-53, "right").astype(float)
 
     def sums(batches):
+        held: dict[int, np.ndarray] = {}
         for pdf in batches:
-            rng = np.random.default_rng([seed, zlib.crc32(pdf.residual.to_numpy().tobytes())])
             for g, part in pdf.groupby("g"):
-                w = rng.poisson(1.0, (resamples, len(part)))
-                yield pd.DataFrame({"g": g, "b": np.arange(resamples), "s": w @ part.residual.to_numpy(), "w": w.sum(axis=1).astype(float)})
+                for k in range(0, len(part), 512):
+                    some = part.iloc[k : k + 512]
+                    w = weights(some.h.to_numpy(np.int64))
+                    held.setdefault(int(g), np.zeros((2, resamples)))
+                    held[int(g)] += np.stack([w @ some.residual.to_numpy(), w.sum(axis=1)])
+        for g, (s, w) in held.items():
+            yield pd.DataFrame({"g": g, "b": np.arange(resamples), "s": s, "w": w})
 
     means = rows.mapInPandas(sums, "g int, b long, s double, w double").groupBy("g", "b").agg((F.sum("s") / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
-    ci = means.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    ci = means.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))  # resamples, not rows
     return size.join(ci, "g").select("g", F.when(F.col("n") >= 5, F.round("lo", 4)).alias("ci_low"), F.when(F.col("n") >= 5, F.round("hi", 4)).alias("ci_high"))
 
 
 def rps_tail(res: DataFrame, percentile: float = 0.95) -> DataFrame:
     """(in_tail, n, means) of rows at or above a percentile of RPS, and of the rest."""
-    cut = res.agg(F.percentile("rps", F.lit(percentile))).first()[0]  # one number
+    cut = ordering.quantiles(res, "rps", [percentile]).first()  # one number
+    cut = cut.q0 if cut else None
     return res.groupBy((F.col("rps") >= F.lit(cut)).alias("in_tail")).agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(f"{c}_mean") for c in ("rps", "residual", "y_true", "mean_pred")))
 
 
@@ -90,7 +109,9 @@ def drift_trend(drift: DataFrame) -> tuple[float, float]:
 def dispersion(res: DataFrame, alpha: str) -> DataFrame:
     """alpha's mean, median, p05, p95, the population variance of Pearson residuals, and
     a verdict."""
-    out = res.agg(F.avg(alpha).alias("alpha_mean"), F.median(alpha).alias("alpha_median"), F.percentile(alpha, F.lit(0.05)).alias("alpha_p05"), F.percentile(alpha, F.lit(0.95)).alias("alpha_p95"), F.var_pop("pearson").alias("pearson_var"))
+    out = res.agg(F.avg(alpha).alias("alpha_mean"), F.var_pop("pearson").alias("pearson_var"))
+    cuts = ordering.quantiles(res, alpha, [0.5, 0.05, 0.95]).toDF("alpha_median", "alpha_p05", "alpha_p95")
+    out = out.crossJoin(cuts).select("alpha_mean", "alpha_median", "alpha_p05", "alpha_p95", "pearson_var")  # one row each
     verdict = F.when(F.col("alpha_mean") < 0.05, "collapses to poisson").when(F.col("pearson_var") > 1.3, "overdispersion left").when(F.col("pearson_var") < 0.7, "alpha overfitted").otherwise("reasonable")
     return out.withColumn("verdict", verdict)
 

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles, running_sums
+
 
 def expanding_target_encoding(df: DataFrame, category: str, y: str, smoothing: float = 20.0, rix: str = "rix", out: str = "te") -> DataFrame:
     """Mean of earlier rows of the same category, shrunk to the mean of all rows; a
-    missing category, and a first row, get that mean."""
+    missing category, and a first row, get that mean. ``rix`` numbers the rows."""
     mean = df.agg(F.avg(y)).first()[0]  # one number
     g, s = F.lit(mean), F.lit(float(smoothing))
-    # missing categories are dealt by row, not gathered in one window
-    own = F.when(F.col(category).isNull(), F.col(rix)).otherwise(F.lit(-1))
-    before = Window.partitionBy(category, own).orderBy(rix).rowsBetween(Window.unboundedPreceding, -1)
-    total, count = F.coalesce(F.sum(y).over(before), F.lit(0)), F.count(y).over(before)
-    return df.withColumn(out, F.when(F.col(category).isNull() | (count == 0), g).otherwise((total + s * g) / (count + s)))
+    unknown = df.where(F.col(category).isNull()).withColumn(out, g)
+    seen = {"_sum": F.coalesce(F.col(y).cast("double"), F.lit(0.0)), "_count": F.col(y).isNotNull().cast("long")}
+    known = running_sums(df.where(F.col(category).isNotNull()), category, rix, seen)
+    te = F.when(F.col("_count") == 0, g).otherwise((F.col("_sum") + s * g) / (F.col("_count") + s))
+    return known.withColumn(out, te).select(*df.columns, out).unionByName(unknown.select(*df.columns, out))
 
 
 def category_stats(df: DataFrame, category: str, y: str) -> DataFrame:
@@ -62,8 +64,9 @@ def unseen_audit(train: DataFrame, other: DataFrame, columns: list[str]) -> Data
 def fit_imputer(train: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, object]:
     """Exact medians and most frequent values (the least of equally frequent ones)."""
     out: dict[str, object] = {}
-    if numeric:
-        out |= train.agg(*(F.median(c).alias(c) for c in numeric)).first().asDict()
+    for c in numeric:
+        found = quantiles(train, c, [0.5]).first()
+        out[c] = found.q0 if found else None
     for c in categorical:
         top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
         out[c] = top[0][c] if top else None

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import probability as P
+from . import ordering
 
 
 def summary(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
     """mean, population std, median, interpolated p95 and n."""
-    aggs = [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.median(x).alias("median"), F.percentile(x, F.lit(0.95)).alias("p95"), F.count(x).alias("n")]
-    return df.groupBy(*(by or [])).agg(*aggs)
+    by = by or []
+    out = df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("n"))
+    cuts = ordering.quantiles(df, x, [0.5, 0.95], by)
+    out = out.join(cuts, by, "left") if by else out.crossJoin(cuts)  # one row each
+    return out.select(*by, "mean", "std", F.col("q0").alias("median"), F.col("q1").alias("p95"), "n")
 
 
 def count_rps(df: DataFrame, y: str, mu: str, k_max: int, family: str = "poisson", alpha: str | None = None) -> DataFrame:
@@ -117,6 +121,6 @@ def classification_report(df: DataFrame, probs: list[str], y: str, by: list[str]
 
 def quantile_bins(df: DataFrame, x: str, bins: int, out: str = "bin") -> DataFrame:
     """Right-closed bins at exact interpolated quantiles, equal edges dropped."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("e")).first()["e"]  # bins + 1 numbers
+    edges = ordering.quantiles(df, x, [k / bins for k in range(bins + 1)]).first()  # bins + 1 numbers
     inner = sorted(set(edges or []))[1:-1]
     return df.withColumn(out, sum((F.when(F.col(x) > F.lit(e), 1).otherwise(0) for e in inner), F.lit(0)))

@@ -9,17 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def average_rank(x: str, by: list[str]):
-    """Rank with ties at their mean."""
+    """Rank with ties at their mean, for groups that a task can hold (features); see
+    :func:`ordering.with_average_rank` for any size."""
     order = Window.partitionBy(*by).orderBy(x)
     return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by..., rho, n)."""
-    ranks = df.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
-    return ranks.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """(by..., rho, n) of the rows where neither value is missing."""
+    rows = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranks = ordering.with_average_rank(ordering.with_average_rank(rows, x, by, "_rx"), y, by, "_ry")
+    return ranks.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
 def spearman_p(rho: float, n: int) -> float:
@@ -59,13 +63,38 @@ def drop_sparse(long: DataFrame, top_share: float, missing_share: float | None =
 
 def block_correlations(long: DataFrame, block: str = "block", feature: str = "feature", value: str = "value", rix: str = "rix") -> DataFrame:
     """(a, b, rho): median over blocks of the absolute rank correlation of each pair of
-    features. Pairs meet by row within a block; the pairs are the result's own size."""
-    ranks = long.select(block, feature, rix, average_rank(value, [block, feature]).alias("r"))
-    a = ranks.select(block, rix, F.col(feature).alias("a"), F.col("r").alias("ra"))
-    b = ranks.select(block, rix, F.col(feature).alias("b"), F.col("r").alias("rb"))
-    pairs = a.join(b, [block, rix]).where("a < b")
-    per = pairs.groupBy("a", "b", block).agg(F.abs(F.corr("ra", "rb")).alias("rho"))
-    return per.groupBy("a", "b").agg(F.median("rho").alias("rho"))
+    features. A row's centred ranks are one vector; tasks add up products of vectors, so
+    what moves is features squared a task and block, not a row. A missing value counts
+    as the block's mean rank; a feature that does not vary in a block has none there."""
+    ranks = ordering.with_average_rank(long.select(block, feature, rix, value), value, [block, feature], "_r")
+    half = ranks.groupBy(block, feature).agg(((F.count(value) + 1) / F.lit(2.0)).alias("_half"))
+    names = [r[0] for r in long.select(feature).distinct().orderBy(feature).collect()]  # features, not rows
+    kind, at = long.schema[feature].dataType.simpleString(), {f: k for k, f in enumerate(names)}
+    ranks = ranks.join(F.broadcast(half), [block, feature]).where(F.col("_r").isNotNull())
+    vectors = ranks.groupBy(block, rix).agg(F.collect_list(F.struct(F.col(feature).alias("f"), (F.col("_r") - F.col("_half")).alias("c"))).alias("v"))
+
+    def products(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for b, part in pdf.groupby("block"):
+                x = np.zeros((len(part), len(names)))
+                for k, v in enumerate(part["v"]):
+                    for cell in v:
+                        x[k, at[cell["f"]]] = cell["c"]
+                sums[b] = sums.get(b, 0.0) + x.T @ x
+        for b, g in sums.items():
+            for k in range(len(names)):
+                yield pd.DataFrame({"block": [b], "i": [k], "g": [g[k]]})
+
+    block_kind = long.schema[block].dataType.simpleString()
+    grams = vectors.select(F.col(block).alias("block"), "v").mapInPandas(products, f"block {block_kind}, i int, g array<double>")
+    cells = grams.select("block", "i", F.posexplode("g").alias("j", "x")).where("i <= j").groupBy("block", "i", "j").agg(F.sum("x").alias("x"))
+    own = cells.where("i = j").select("block", F.col("i").alias("k"), F.col("x").alias("d"))
+    pairs = cells.where("i < j").join(F.broadcast(own.toDF("block", "i", "di")), ["block", "i"]).join(F.broadcast(own.toDF("block", "j", "dj")), ["block", "j"])
+    rho = F.when((F.col("di") > 0) & (F.col("dj") > 0), F.abs(F.col("x")) / F.sqrt(F.col("di") * F.col("dj")))
+    per = pairs.select("i", "j", rho.alias("rho")).groupBy("i", "j").agg(F.median("rho").alias("rho"))
+    name = F.array(*(F.lit(f) for f in names)) if names else F.array().cast(f"array<{kind}>")
+    return per.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), "rho")
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:

@@ -8,16 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def row_index(df: DataFrame, order: list[str], name: str = "rix") -> DataFrame:
-    """0-based global position by ``order`` (unique). Rows are ranged into partitions,
-    counted, and numbered inside, so no task holds the whole table."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(*order)
-    numbered = parts.withColumn("_k", F.row_number().over(inside) - 1)
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return numbered.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k", "_b")
+from .ordering import CHUNK, row_index  # noqa: F401  (row_index is part of this module's interface)
 
 
 def tscv_bounds(n: int, k: int) -> list[tuple[int, int, int]]:
@@ -72,14 +63,23 @@ def walk_forward_ends(n: int, k: int) -> list[int]:
 
 
 def autocorrelation(df: DataFrame, y: str, lags: int = 60, rix: str = "rix") -> DataFrame:
-    """(lag, acf): each row meets the rows up to ``lags`` after it by an equi-join on
-    positions, so no global window is needed."""
+    """(lag, acf). Positions are cut into chunks; a chunk's task also gets the first
+    ``lags`` rows of the next one, so rows look ahead without a join or an explode."""
     mean = df.agg(F.avg(y)).first()[0]  # one number
-    own = df.select(F.col(rix).alias("r"), (F.col(y) - F.lit(mean)).alias("c"))
-    var = own.agg(F.sum(F.col("c") * F.col("c"))).first()[0]
-    ahead = own.select((F.col("r")).alias("r2"), F.col("c").alias("c2"))
-    pairs = own.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("r2", F.col("r") + F.col("lag")).join(ahead, "r2")
-    return pairs.groupBy("lag").agg((F.sum(F.col("c") * F.col("c2")) / F.lit(var)).alias("acf"))
+    own = df.select(F.col(rix).alias("r"), (F.col(y) - F.lit(mean)).alias("c"), F.expr(f"{rix} div {CHUNK}").alias("chunk"), F.lit(True).alias("own"))
+    reach = -(-lags // CHUNK)
+    halo = own.where(F.col("chunk") > 0).where(F.col("r") % CHUNK < lags) if reach == 1 else own
+    rows = own
+    for k in range(1, reach + 1):
+        rows = rows.unionByName(halo.withColumn("chunk", F.col("chunk") - k).withColumn("own", F.lit(False)))
+    ahead = Window.partitionBy("chunk").orderBy("r")
+    terms = []
+    for k in range(1, lags + 1):
+        follows = F.lead("r", k).over(ahead) == F.col("r") + k
+        terms.append(F.when(follows, F.col("c") * F.lead("c", k).over(ahead)).alias(f"t{k}"))
+    sums = rows.select("c", "own", *terms).where("own").agg(F.sum(F.col("c") * F.col("c")).alias("var"), *(F.coalesce(F.sum(f"t{k}"), F.lit(0.0)).alias(str(k)) for k in range(1, lags + 1)))
+    out = sums.unpivot(["var"], [str(k) for k in range(1, lags + 1)], "lag", "s")
+    return out.select(F.col("lag").cast("int").alias("lag"), (F.col("s") / F.col("var")).alias("acf"))
 
 
 def acf_block_size(acf: list[float], n: int, min_block: int = 1, max_block: int = 250) -> tuple[int, float, int]:

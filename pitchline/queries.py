@@ -509,7 +509,7 @@ def residual_by_y(v, spark, d):
 
 @query()
 def residual_bootstrap(v, spark, d):
-    return analysis.bootstrap_by_count(_residual_rows(v), 2, 200)
+    return analysis.bootstrap_by_count(_residual_rows(v), 2, 200, key="match_id")
 
 
 @query(f"WITH r AS ({_residuals()}), c AS (SELECT quantile_cont(rps, 0.95) AS c FROM r) SELECT rps >= c AS in_tail, count(*) AS n, round(avg(rps), 4) + 0.0 AS rps_mean, round(avg(residual), 4) + 0.0 AS residual_mean, round(avg(y_true), 4) + 0.0 AS y_true_mean, round(avg(mean_pred), 4) + 0.0 AS mean_pred_mean FROM r, c GROUP BY ALL")
@@ -565,13 +565,13 @@ def sparsity_count(v, spark, d):
     return statistics.drop_sparse(_sparse_long(v), 0.98, 0.3)
 
 
-def _blocked(v, features: int = 12) -> DataFrame:
+def _blocked(v) -> DataFrame:
     rows = v("feat_long")
     n = rows.agg(F.max("rix") + 1).first()[0]
-    return rows.where(F.col("feature") < features).withColumn("block", temporal.block_of("rix", n, 5))
+    return rows.withColumn("block", temporal.block_of("rix", n, 5))
 
 
-@query(f"WITH n AS (SELECT max(rix) + 1 AS n FROM feat_long), l AS (SELECT f.*, list_filter(range(0, 5), lambda k: rix < CAST(floor((k + 1) * n / 5.0) AS BIGINT))[1] AS block FROM feat_long f, n WHERE feature < 12), r AS (SELECT block, feature, rix, {_rank('value', 'block, feature')} AS r FROM l), c AS (SELECT a.feature AS a, b.feature AS b, a.block, abs(corr(a.r, b.r)) AS rho FROM r a JOIN r b ON a.block = b.block AND a.rix = b.rix AND a.feature < b.feature GROUP BY ALL) SELECT a, b, {_r('median(rho)', 'rho')} FROM c GROUP BY ALL")
+@query(f"WITH n AS (SELECT max(rix) + 1 AS n FROM feat_long), l AS (SELECT f.*, list_filter(range(0, 5), lambda k: rix < CAST(floor((k + 1) * n / 5.0) AS BIGINT))[1] AS block FROM feat_long f, n), r AS (SELECT block, feature, rix, {_rank('value', 'block, feature')} AS r FROM l), c AS (SELECT a.feature AS a, b.feature AS b, a.block, abs(corr(a.r, b.r)) AS rho FROM r a JOIN r b ON a.block = b.block AND a.rix = b.rix AND a.feature < b.feature GROUP BY ALL) SELECT a, b, {_r('median(rho)', 'rho')} FROM c GROUP BY ALL")
 def spearman_blocks_median(v, spark, d):
     return statistics.block_correlations(_blocked(v))
 
@@ -579,7 +579,7 @@ def spearman_blocks_median(v, spark, d):
 @query()
 def cluster_representatives(v, spark, d):
     pairs = [(r.a, r.b, r.rho) for r in statistics.block_correlations(_blocked(v)).collect()]  # features squared
-    rows = statistics.cluster_representatives(pairs, list(range(12)), {f: -f for f in range(12)}, 0.2)
+    rows = statistics.cluster_representatives(pairs, list(range(64)), {f: -f for f in range(64)}, 0.2)
     return spark.createDataFrame(rows, "feature int, cluster int, kept boolean")
 
 
@@ -605,12 +605,12 @@ def significance_parametric(v, spark, d):
     return statistics.significance(v("nullimp"), v("realimp"), "parametric_bh").select("feature", "p_param", "p_param_adj", "at_floor", "significant")
 
 
-_WIN = "SELECT run // 60 AS w, feature, avg(imp) AS imp FROM nullimp GROUP BY ALL"
+_WIN = "SELECT run % 5 AS w, feature, avg(imp) AS imp FROM nullimp GROUP BY ALL"
 
 
 @query(f"WITH w AS ({_WIN}), p AS (SELECT feature, ({_rank('imp', 'w')}) / count(*) OVER (PARTITION BY w) AS pct FROM w), s AS (SELECT feature, avg(pct) AS m, stddev_pop(pct) AS s FROM p GROUP BY ALL) SELECT feature, {_r('m', 'mean')}, {_r('s', 'std')}, {_r('m - s', 'score')}, m - s >= 0.35 AS stable FROM s")
 def stability_scores(v, spark, d):
-    windows = v("nullimp").groupBy(F.expr("run div 60").alias("window"), "feature").agg(F.avg("imp").alias("imp"))
+    windows = v("nullimp").groupBy(F.expr("run % 5").alias("window"), "feature").agg(F.avg("imp").alias("imp"))
     return statistics.stability(windows, 1.0, 0.35)
 
 
@@ -618,7 +618,7 @@ def stability_scores(v, spark, d):
 def jaccard_walkforward(v, spark, d):
     from pyspark.sql import Window
 
-    w = v("nullimp").groupBy(F.expr("run div 60").alias("w"), "feature").agg(F.avg("imp").alias("imp"))
+    w = v("nullimp").groupBy(F.expr("run % 5").alias("w"), "feature").agg(F.avg("imp").alias("imp"))
     chosen = w.withColumn("m", F.avg("imp").over(Window.partitionBy("w"))).where("imp > m")
     return statistics.jaccard_pairs(chosen, "w", "feature")
 
