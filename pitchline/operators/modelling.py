@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import boosting as B
 from . import statistics, temporal
 
-MAX_CELLS = 200_000_000
+#: Bound of a modelling table: 40 million doubles are 320 MB on the driver and in a worker.
+MAX_CELLS = 40_000_000
 
 
 @dataclass(frozen=True)
@@ -337,14 +338,23 @@ class SelectionConfig:
     """Defaults of the count variant; ``with_overrides`` refuses unknown keys."""
 
     objective: str = "poisson"
+    top_share: float = 0.98
+    missing_share: float = 0.95
+    mi_threshold: float = 1e-4
+    mi_neighbors: int = 3
+    mi_seeds: int = 3
     corr_threshold: float = 0.80
     corr_blocks: int = 5
+    representative: str = "spearman"
     leakage_top: int = 40
     leakage_flag: float = 0.15
     runs: int = 300
     alpha: float = 0.01
     method: str = "parametric_bh"
+    tail: str = "lognormal"
+    floor_guard: bool = True
     z_min: float = 4.0
+    robust_pass: bool = True
     real_seeds: int = 5
     sample: int = 2000
     strata: int = 10
@@ -372,56 +382,109 @@ class SelectionReport:
     stability: DataFrame | None = None
     leakage: DataFrame | None = None
     validation: DataFrame | None = None
+    information: dict[str, float] | None = None
 
 
-def correlation_filter(t: ModelTable, cfg: SelectionConfig) -> list[str]:
-    """Representatives of clusters of features that rank rows alike in most blocks."""
-    ends, names = temporal.block_bounds(len(t.y), cfg.corr_blocks), list(t.features)
+def long_form(spark: SparkSession, t: ModelTable) -> DataFrame:
+    """(rix, feature, value) of a modelling table; missing values stay missing."""
+    import pyarrow as pa
+
+    n, f = t.x.shape
+    flat = t.x.ravel()
+    cells = pa.table({"rix": np.repeat(np.arange(n), f), "feature": np.tile(np.array(t.features, dtype=object), n), "value": pa.array(flat, mask=~np.isfinite(flat))})
+    return spark.createDataFrame(cells)
+
+
+def sparsity_filter(spark: SparkSession, t: ModelTable, cfg: SelectionConfig) -> list[str]:
+    """Features whose values vary enough: see :func:`statistics.drop_sparse`; a class
+    target counts missing as a value."""
+    if not t.features:
+        return []
+    rows = statistics.drop_sparse(long_form(spark, t), cfg.top_share, None if cfg.objective == "multiclass" else cfg.missing_share)
+    kept = {r.feature for r in rows.where("kept").select("feature").collect()}  # features, not rows
+    return [f for f in t.features if f in kept]
+
+
+def information(spark: SparkSession, t: ModelTable, cfg: SelectionConfig) -> dict[str, float]:
+    """Mutual information of each feature and the target, one task for each; for counts
+    the mean over seeds, over the stratified sample."""
+    classes = cfg.objective == "multiclass"
+    rows = np.arange(len(t.y)) if classes else np.array(temporal.strata_index(len(t.y), cfg.sample, cfg.strata))
+    bc = spark.sparkContext.broadcast(ModelTable(impute_columns(t.x)[0][rows], t.y[rows], t.features))
+    seeds = tuple(cfg.seed + k for k in range(1 if classes else cfg.mi_seeds))
+
+    def work(name):
+        own = bc.value.take([name])
+        return pd.DataFrame({"feature": [name], "mi": [statistics.mutual_information_of(own.x[:, 0], own.y, classes, cfg.mi_neighbors, seeds)]})
+
+    return {r.feature: r.mi for r in run_tasks(spark, list(t.features), work, "feature string, mi double").collect()}  # features, not rows
+
+
+def correlation_filter(spark: SparkSession, t: ModelTable, cfg: SelectionConfig, score: dict[str, float] | None = None) -> list[str]:
+    """Representatives of clusters of features that rank rows alike in most blocks: those
+    of the highest ``score``, or that rank rows most like the target."""
+    names = list(t.features)
     if len(names) < 2:
         return names
     filled = impute_columns(t.x)[0]
-    mats = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        ranks = pd.DataFrame(filled[a:b]).rank().to_numpy()
-        with np.errstate(all="ignore"):
-            mats.append(np.nan_to_num(np.abs(np.corrcoef(ranks, rowvar=False))))
-    rho = np.median(mats, axis=0)
-    pairs = [(names[i], names[j], float(rho[i, j])) for i in range(len(names)) for j in range(i + 1, len(names))]
-    score = {n: abs(_spearman(filled[:, i], t.y)) for i, n in enumerate(names)}
+    long = long_form(spark, ModelTable(filled, t.y, t.features)).withColumn("block", temporal.block_of("rix", len(t.y), cfg.corr_blocks))
+    pairs = [(r.a, r.b, r.rho) for r in statistics.block_correlations(long).collect()]  # features squared
+    score = score or {n: abs(_spearman(filled[:, i], t.y)) for i, n in enumerate(names)}
     return [f for f, _, kept in statistics.cluster_representatives(pairs, names, score, cfg.corr_threshold) if kept]
 
 
+def robust_features(spark: SparkSession, t: ModelTable, cfg: SelectionConfig, params: B.BoosterParams, block: int) -> DataFrame:
+    """(feature, robust_weak): does a feature beat all its null importances under a weak
+    learner (stumps)? A check of the features already chosen, no second test."""
+    weak = replace(params, max_depth=1, max_leaves=2)
+    null = null_importance(spark, t, weak, max(30, cfg.runs // 4), block, cfg.seed + 20_000, cfg.sample, cfg.strata)
+    real = real_importance(spark, t, weak, [cfg.seed], cfg.sample, cfg.strata)
+    return null.join(real, "feature").groupBy("feature").agg((F.count_if(F.col("imp") >= F.col("imp_real")) == 0).alias("robust_weak"))
+
+
 def select_features(spark: SparkSession, train: ModelTable, valid: ModelTable | None, cfg: SelectionConfig = SelectionConfig()) -> SelectionReport:
-    """The steps in order: spread, leakage report, correlation, null importances with
-    multiple-testing control, stability, honesty check. An empty result falls back to
-    what step two left."""
-    if cfg.objective == "poisson" and (train.y < 0).any():
+    """The steps in order: sparsity, leakage report, mutual information, correlation, null
+    importances with multiple-testing control and a check by a weak learner, stability,
+    honesty check. For counts an empty result falls back to what step two left."""
+    if cfg.representative not in ("spearman", "mi"):
+        raise ValueError(f"unknown representative {cfg.representative!r}; known: spearman, mi")
+    counted = cfg.objective != "multiclass"
+    if counted and (train.y < 0).any():
         raise ValueError("a count target must not be negative")
     params = B.BoosterParams(objective=cfg.objective, rounds=cfg.rounds, seed=cfg.seed)
     counts = {"candidates": len(train.features)}
-    varied = [f for f, c in zip(train.features, train.x.T) if len(np.unique(c[np.isfinite(c)])) > 1]
+    varied = sparsity_filter(spark, train, cfg)
     counts["sparsity"] = len(varied)
-    leak = leakage_audit(spark, train.take(varied), cfg.leakage_top, cfg.leakage_flag) if cfg.objective == "poisson" else None
-    kept = correlation_filter(train.take(varied), cfg)
+    leak = leakage_audit(spark, train.take(varied), cfg.leakage_top, cfg.leakage_flag) if counted else None
+    info = information(spark, train.take(varied), cfg)
+    told = [f for f in varied if info[f] >= cfg.mi_threshold]
+    counts["information"] = len(told)
+    by_info = cfg.representative == "mi" or not counted
+    kept = correlation_filter(spark, train.take(told), cfg, info if by_info else None)
     counts["correlation"] = len(kept)
     own = train.take(kept)
     changes = int((np.diff(own.y) != 0).sum())
-    block = temporal.run_length_block(len(own.y), changes) if cfg.objective == "multiclass" else temporal.acf_block_size(_acf(own.y), len(own.y))[0]
-    null = null_importance(spark, own, params, cfg.runs, block, cfg.seed + (0 if cfg.objective == "multiclass" else 10_000), cfg.sample, cfg.strata)
-    real = real_importance(spark, own, params, [cfg.seed + s for s in range(cfg.real_seeds)], cfg.sample, cfg.strata)
-    sig = statistics.significance(null, real, cfg.method, cfg.alpha, cfg.z_min).orderBy(F.desc("z")).cache()
-    names = [r.feature for r in sig.where("significant").select("feature").collect()]  # features, not rows
+    block = temporal.acf_block_size(_acf(own.y), len(own.y))[0] if counted else temporal.run_length_block(len(own.y), changes)
+    sig, names = None, []
+    if kept:
+        null = null_importance(spark, own, params, cfg.runs, block, cfg.seed + (10_000 if counted else 0), cfg.sample, cfg.strata)
+        real = real_importance(spark, own, params, [cfg.seed + s for s in range(cfg.real_seeds if counted else 1)], cfg.sample, cfg.strata)
+        sig = statistics.significance(null, real, cfg.method, cfg.alpha, cfg.z_min, tail=cfg.tail, floor_guard=cfg.floor_guard).cache()
+        names = [r.feature for r in sig.where("significant").select("feature").collect()]  # features, not rows
+        if counted and cfg.robust_pass and len(names) > 1:
+            sig = sig.join(robust_features(spark, train.take(names), cfg, params, block), "feature", "left")
+        sig = sig.orderBy(F.desc("z"))
     counts["significance"] = len(names)
     stab = None
     if names:
-        stab = statistics.stability(window_importance(spark, train.take(names), params, cfg.stability_windows, cfg.stability_rows), cfg.stability_k, cfg.stability_min).cache()
+        stab = statistics.stability(window_importance(spark, train.take(names), params, cfg.stability_windows, cfg.stability_rows), cfg.stability_k, cfg.stability_min).orderBy(F.desc("score")).cache()
         rows = stab.collect()  # features, not rows
         if len(rows):
             names = [r.feature for r in rows if r.stable]
     counts["stability"] = len(names)
-    selected = sorted(names or kept, key=list(train.features).index)
+    selected = sorted(names or (kept if counted else []), key=list(train.features).index)
     check = validate_selection(spark, train, valid, selected, params, cfg.random_draws, cfg.seed) if valid is not None else None
-    return SelectionReport(counts, selected, statistics.preflight(cfg.runs, len(kept), cfg.alpha), sig, stab, leak, check)
+    return SelectionReport(counts, selected, statistics.preflight(cfg.runs, max(1, len(kept)), cfg.alpha), sig, stab, leak, check, info)
 
 
 def _acf(y: np.ndarray, lags: int = 60) -> list[float]:

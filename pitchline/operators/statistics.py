@@ -175,9 +175,12 @@ def _lognormal_tails(real: pd.Series, runs: pd.Series, raw_std: pd.Series, top:
 
 def gamma_tail(x: float, null: np.ndarray) -> float:
     """P of at least x under a gamma fitted to null importances by maximum likelihood."""
-    null = null[null > 0]
+    null = null[np.isfinite(null)]
     if len(null) < 5 or null.std() == 0:
-        return 1.0 if not len(null) or x <= null.max() else 1e-12
+        return 1.0 if x <= max(null.max(initial=0.0), 0.0) else 1e-12
+    if x <= 0:
+        return 1.0
+    null = np.maximum(null, 1e-12)  # a gamma has no mass at zero
     s = math.log(null.mean()) - np.log(null).mean()
     a = (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
     for _ in range(30):
@@ -215,13 +218,29 @@ def _gamma_q(a: float, x: float) -> float:
     return front * h
 
 
-def significance(null: DataFrame, real: DataFrame, method: str = "zscore", alpha: float = 0.05, z_min: float = 4.0, real_imp: str = "imp_real") -> DataFrame:
-    """Adds p_param, both adjusted p, at_floor and ``significant`` by the method."""
+TAILS = ("lognormal", "gamma")
+
+
+def _gamma_tails(null: DataFrame, real: DataFrame, real_imp: str) -> DataFrame:
+    """(feature, p_param): each feature's runs, of which there are hundreds, make a fit."""
+    fit = lambda runs, x: pd.Series([gamma_tail(float(b), np.sort(np.asarray(a, float))) for a, b in zip(runs, x)])
+    runs = null.groupBy("feature").agg(F.collect_list("imp").alias("runs")).join(real, "feature")
+    return runs.select("feature", F.pandas_udf(fit, "double")("runs", real_imp).alias("p_param"))
+
+
+def significance(null: DataFrame, real: DataFrame, method: str = "zscore", alpha: float = 0.05, z_min: float = 4.0, real_imp: str = "imp_real", tail: str = "lognormal", floor_guard: bool = True) -> DataFrame:
+    """Adds p_param (right tail of the distribution ``tail`` fitted to the null), both
+    adjusted p, at_floor and ``significant`` by the method."""
+    if tail not in TAILS:
+        raise ValueError(f"unknown tail {tail!r}; known: {', '.join(TAILS)}")
     s = null_statistics(null, real, real_imp=real_imp)
-    s = s.withColumn("p_param", F.pandas_udf(_lognormal_tails, "double")(real_imp, "runs", "raw_std", "max", "log_mean", "log_std"))
+    if tail == "gamma":
+        s = s.join(_gamma_tails(null, real, real_imp), "feature")
+    else:
+        s = s.withColumn("p_param", F.pandas_udf(_lognormal_tails, "double")(real_imp, "runs", "raw_std", "max", "log_mean", "log_std"))
     s = bh_adjust(bh_adjust(s, "p_emp", "feature", "p_emp_adj"), "p_param", "feature", "p_param_adj")
     s = s.withColumn("at_floor", F.col("exceed") == 0)
-    rules = {"empirical_bh": F.col("p_emp_adj") <= alpha, "parametric_bh": (F.col("p_param_adj") <= alpha) & F.col("at_floor"), "zscore": F.col("z") >= z_min}
+    rules = {"empirical_bh": F.col("p_emp_adj") <= alpha, "parametric_bh": (F.col("p_param_adj") <= alpha) & (F.col("at_floor") | F.lit(not floor_guard)), "zscore": F.col("z") >= z_min}
     if method not in rules:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(rules)}")
     return s.withColumn("significant", rules[method]).drop("raw_std")
@@ -296,15 +315,46 @@ def mi_discrete_target(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return float(max(0.0, _digamma(np.array([n]))[0] + _digamma(ks).mean() - _digamma(ns).mean() - _digamma(np.maximum(ms, 1)).mean()))
 
 
+def mi_continuous_target(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
+    """Mutual information of two continuous variables: distances to the k-th neighbour in
+    the plane (largest coordinate), neighbours counted on each axis. Rows squared in
+    slices, so for bounded samples."""
+    n = len(x)
+    if n <= k:
+        return 0.0
+    sx, sy, total = np.sort(x), np.sort(y), 0.0
+    for a in range(0, n, 256):
+        px, py = x[a : a + 256, None], y[a : a + 256, None]
+        d = np.maximum(np.abs(px - x), np.abs(py - y))
+        radius = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)  # the point itself is nearest
+        within = [np.searchsorted(z, p[:, 0] + radius, "right") - np.searchsorted(z, p[:, 0] - radius, "left") for z, p in ((sx, px), (sy, py))]
+        total += float((_digamma(within[0]) + _digamma(within[1])).sum())
+    return max(0.0, float(_digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - total / n))
+
+
+def mutual_information_of(x: np.ndarray, y: np.ndarray, classes: bool, k: int = 3, seeds: tuple[int, ...] = (0,)) -> float:
+    """Mean over seeds of the estimate, with a little noise that parts equal values; the
+    target is a class or a number."""
+    x = x / (x.std() or 1.0)
+    out = []
+    for s in seeds:
+        rng = np.random.default_rng(s)
+        own = x + 1e-10 * max(1.0, np.abs(x).mean()) * rng.standard_normal(len(x))
+        if classes:
+            out.append(mi_discrete_target(own, y, k))
+        else:
+            t = y / (y.std() or 1.0)
+            out.append(mi_continuous_target(own, t + 1e-10 * max(1.0, np.abs(t).mean()) * rng.standard_normal(len(t)), k))
+    return float(np.mean(out))
+
+
 def mutual_information(long: DataFrame, y: str, k: int = 3, feature: str = "feature", value: str = "value", seeds: tuple[int, ...] = (0,)) -> DataFrame:
     """(feature, mi) of continuous features in long form with a discrete target; a little
     noise parts equal values, and the mean over seeds counts. One task per feature."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, t = pdf[value].to_numpy(float), pdf[y].to_numpy()
-        x = x / (x.std() or 1.0)
-        noise = [1e-10 * max(1.0, np.abs(x).mean()) * np.random.default_rng(s).standard_normal(len(x)) for s in seeds]
-        return pd.DataFrame({"feature": [pdf[feature].iloc[0]], "mi": [float(np.mean([mi_discrete_target(x + e, t, k) for e in noise]))]})
+        pdf = pdf.sort_values([value, y])  # the noise meets rows in one order
+        return pd.DataFrame({"feature": [pdf[feature].iloc[0]], "mi": [mutual_information_of(pdf[value].to_numpy(float), pdf[y].to_numpy(), True, k, seeds)]})
 
     kind = long.schema[feature].dataType.simpleString()
     return long.select(feature, value, y).groupBy(feature).applyInPandas(one, f"feature {kind}, mi double")
