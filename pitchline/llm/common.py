@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import prefix_sums  # noqa: F401  (used by operators of this subpackage)
+from ..staging import new_folder, release, remove, shared_dir, staged  # noqa: F401
+
 #: Java regex of a word: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,44 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- the shared folder -------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine), a new folder is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pitchline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what :func:`staged` wrote, once nothing reads it any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
 def local_path(path: str) -> str:
     """The path by which Python opens a shared folder; it must be mounted."""
     if path.startswith("file:"):
@@ -116,22 +79,3 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
 def id_crc_mod5(col):
     """crc32 of the id as text, modulo 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 5
-
-
-def prefix_sums(buckets: DataFrame, keys: list[str], coarse: str, fine: str, values: list[str]) -> DataFrame:
-    """Exclusive running sums of ``values`` (added as ``before_<value>``) over rows
-    that are unique by (keys, coarse, fine), in that order within ``keys``; none of
-    these may be null.
-
-    Two levels, so that no task gets more than one coarse bucket's rows or one
-    row for each coarse bucket.
-    """
-    from pyspark.sql import Window
-
-    inner = Window.partitionBy(*keys, coarse).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    tops = buckets.groupBy(*keys, coarse).agg(*(F.sum(v).alias(f"top_{v}") for v in values))
-    tops = tops.select(*keys, coarse, *(F.coalesce(F.sum(f"top_{v}").over(outer), F.lit(0)).alias(f"top_{v}") for v in values))
-    rows = buckets.select("*", *(F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"in_{v}") for v in values))
-    both = rows.join(tops, [*keys, coarse])
-    return both.select(*buckets.columns, *((F.col(f"in_{v}") + F.col(f"top_{v}")).alias(f"before_{v}") for v in values))

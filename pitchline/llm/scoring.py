@@ -1,18 +1,26 @@
-"""Language-model scores: interpolated modified Kneser-Ney over word pairs.
+"""Language-model scores: interpolated modified Kneser-Ney over word triples.
 
 Counting is one Spark job with two shuffles of compact blocks. Map tasks turn whole
-training texts into pair counts, cut into ranges of the pair's hash; a reduce task
-sums one range and stores it as sorted arrays (hashes, counts) in the shared folder,
-and passes on per-word sums (as context: tokens, and pairs seen once, twice, more; as
-continuation: distinct contexts, tokens), which a second reduce sums and stores by
-ranges of the word's hash. A frequent word's pairs spread over all ranges. Workers
-memory-map the arrays and look a batch's sorted distinct hashes up by binary search.
-
-Model: P(w|v) = max(c(vw) - D, 0) / c(v) + g(v) P(w); P(w) = max(a(w) - D', 0) / A +
-g' / (V + 1), with a(w) the distinct contexts of w, A their sum, the last share for
-an unknown word. Discounts follow from the counts of counts (a usual fixed choice where
-those are too few). A text is its words and one end mark; the first word's context is
-a begin mark. All counts cover every training row; nothing is pruned.
+training texts into counts of triples (u, v, w), each in the cell of its middle word v,
+so that one reduce task holds all of a triple's count, of its context (u, v), and of the
+distinct words before (v, w). Words that a bounded sample shows to be frequent (and the
+begin mark) are spread over cells by (v, w) instead, and the sums of their contexts (u, v)
+are brought together by a second shuffle, with the per-word sums. What is frequent decides
+only where a count lies, never what it is. A cell is one file of sorted hash arrays in
+the shared folder; workers memory-map the files and look hashes up by binary search.
+
+Model, with c the counts of triples, a(vw) the distinct words before (v, w) (after the
+begin mark: its count), b(w) the distinct words before w:
+P(w|uv) = max(c(uvw) - D3, 0) / c(uv) + g(uv) P(w|v),
+P(w|v) = max(a(vw) - D2, 0) / a(v) + g(v) P(w),
+P(w) = max(b(w) - D1, 0) / B + g / (V + 1), the last share for an unknown word.
+Discounts follow from the counts of counts (a usual fixed choice where those are too
+few). A text is two begin marks, its words and one end mark. All counts cover every
+training row; nothing is pruned.
+
+Hashes of triples and pairs are stored with 32 bits and their bucket's number, some 48
+bits a cell: an unseen one is taken for a seen one with a chance of about 1e-8. Hashes
+of words are stored whole.
 
 Defined cases: null text counts as empty, one token (the end); a null id counts as the
 empty text in the split; rows that repeat count each; without training rows V = N = 0
@@ -21,43 +29,53 @@ and every score is 0.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, id_crc_mod5, local_path, new_folder, paired, table, texts_of
+from .common import WordHashes, id_crc_mod5, local_path, mixed, new_folder, paired, table, texts_of
 
 #: Fixed hashes of the marks: no word's bytes hash to them but by chance.
 BEGIN = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
-#: Pairs that a map task gathers before it passes their counts on.
-GATHER = 2_000_000
+#: Tokens that a map task gathers before it passes their counts on.
+GATHER = 4_000_000
 #: Per-word sums that a reduce task holds together before it passes them on.
 HOLD = 2_000_000
-#: Mapped arrays that a worker keeps at once; systems allow some 65,000.
-MAX_MAPS = 40_000
-#: Bytes of text for each range of the arrays.
-RANGE_BYTES = 8 << 20
+#: Files that a worker keeps mapped; systems allow some 65,000.
+MAX_MAPS = 30_000
+#: Bytes of text for each cell, so that a cell's triples fit a worker.
+CELL_BYTES = 24 << 20
 #: Texts are scored so many tokens at a time.
 SCORE_TOKENS = 500_000
+#: Rows of the sample that shows frequent words, and their least share in it.
+SAMPLE, LEAST_SHARE = 5_000, 1e-5
 FALLBACK = (0.5, 1.0, 1.5)
+_MARKS = np.array([BEGIN, BEGIN]), np.array([END])
+
+
+# -- blocks and files -----------------------------------------------------------
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays, each in the narrowest type."""
+    """Unsigned arrays, each in the narrowest type, compressed."""
     out = []
     for a in arrays:
-        a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        a = narrow(a)
         out.append(np.array([a.itemsize, len(a)], np.int64).tobytes() + a.tobytes())
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     out, at = [], 0
     while at < len(blob):
         item, n = np.frombuffer(blob, np.int64, 2, at).tolist()
@@ -66,64 +84,235 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0), copy=False)
+
+
+def path_of(folder: str, kind: str, cell: int) -> str:
+    return f"{folder}/{cell % 256}/{kind}-{cell}"
+
+
+def save(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file, put under its name in one step, so that a task that runs again does no
+    harm."""
+    head, parts, at = {}, [], 0
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head[name] = [a.dtype.str, list(a.shape), at]
+        parts.append(a.tobytes() + b"\0" * (-a.nbytes % 8))
+        at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.write(np.array([len(text)], np.int64).tobytes() + text)
+        f.writelines(parts)
+    os.replace(own, path)
+
+
+def load(path: str) -> dict[str, np.ndarray] | None:
+    if not os.path.exists(path):
+        return None
+    whole = np.memmap(path, np.uint8, "r")
+    n = int(whole[:8].view(np.int64)[0])
+    out = {}
+    for name, (kind, shape, at) in json.loads(whole[8 : 8 + n].tobytes()).items():
+        size = int(np.prod(shape)) * np.dtype(kind).itemsize
+        out[name] = whole[8 + n + at : 8 + n + at + size].view(kind).reshape(shape)
+    return out
+
+
+# -- sorted hash arrays ------------------------------------------------------------
+
+
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def bits_for(n: int) -> int:
+    """Bits of a hash that its bucket stands for: some 32 hashes a bucket."""
+    return max(1, n.bit_length() - 5)
+
+
+def split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, the 32 bits after it)."""
+    return (key >> np.uint64(64 - bits)).astype(np.int64), (key >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def hash_array(name: str, key: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Buckets and sorted hashes, and the order in which values belong to them."""
+    order = np.argsort(key)
+    bits = bits_for(len(key))
+    bucket, low = split_key(key[order], bits)
+    begin = np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.uint32)
+    return {f"{name}.begin": begin, f"{name}.low": low}, order
+
+
+def find(arrays: dict[str, np.ndarray], name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of each hash."""
+    begin, low = arrays[f"{name}.begin"], arrays[f"{name}.low"]
+    bucket, want = split_key(key, int(len(begin) - 1).bit_length() - 1)
+    lo, end = begin[bucket].astype(np.int64), begin[bucket + 1].astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (low[np.minimum(mid, len(low) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    hit = lo < end
+    hit[hit] = low[lo[hit]] == want[hit]
+    return lo, hit
+
+
+def counts_array(name: str, value: np.ndarray) -> dict[str, np.ndarray]:
+    """One byte a count; larger ones apart."""
+    large = np.flatnonzero(value >= 255)
+    return {f"{name}.count": np.minimum(value, 255).astype(np.uint8), f"{name}.at": large.astype(np.uint32), f"{name}.large": narrow(value[large].astype(np.uint64))}
+
+
+def read_counts(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = arrays[f"{name}.count"][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = arrays[f"{name}.large"][np.searchsorted(arrays[f"{name}.at"], at[big])]
+    return out
+
+
+def sums_array(name: str, rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of four sums, one byte each: the commonest rows are a palette, others apart."""
+    small = (rows < 1 << 15).all(axis=1)
+    packed = np.where(small, rows @ np.array([1 << 48, 1 << 32, 1 << 16, 1], np.int64), -1)
+    kinds, of, n = np.unique(packed, return_inverse=True, return_counts=True)
+    best = np.argsort(-n, kind="stable")[:256]
+    best = best[kinds[best] >= 0][:255]
+    code = np.full(len(kinds), 255)
+    code[best] = np.arange(len(best))
+    code = code[of]
+    rest = np.flatnonzero(code == 255)
+    palette = np.stack([kinds[best] >> s & 0xFFFF for s in (48, 32, 16, 0)], axis=1)
+    return {f"{name}.code": code.astype(np.uint8), f"{name}.palette": palette, f"{name}.at": rest.astype(np.uint32), f"{name}.rows": rows[rest]}
+
+
+def read_sums(arrays: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    code = arrays[f"{name}.code"][at]
+    out = np.zeros((len(at), 4), np.int64)
+    plain = code < 255
+    out[plain] = arrays[f"{name}.palette"][code[plain]]
+    out[~plain] = arrays[f"{name}.rows"][np.searchsorted(arrays[f"{name}.at"], at[~plain])]
+    return out
+
+
+def first_of(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and each value's sums."""
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = first_of(key)
     return (key[first], *(np.add.reduceat(v[order].astype(np.int64), first) if len(first) else v.astype(np.int64) for v in values))
 
 
-def sequence(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and tokens of a text."""
-    return np.concatenate([[BEGIN], h]), np.concatenate([h, [END]])
+def by_count(count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows (sum, ones, twos, more) of each run of counts."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (count, count == 1, count == 2, count >= 3)], axis=1)
+
 
+def seen_counts(count: np.ndarray) -> np.ndarray:
+    """How many are 1, 2, 3, 4."""
+    return np.bincount(np.minimum(count, 5), minlength=6)[1:5]
 
-def _pair_blocks(ranges: int):
-    """Training texts to (range, block of pair counts)."""
 
-    def flush(v: list[np.ndarray], w: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        v, w = np.concatenate(v), np.concatenate(w)
-        key = paired(v, w)
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(first, len(key)))
-        key, v, w = key[first], v[order[first]], w[order[first]]
-        edge = np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
-        blocks, full = [], np.flatnonzero(np.diff(edge)).tolist()
+# -- counting ----------------------------------------------------------------------
+
+
+def stream(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words with their marks in one array, and where triples begin."""
+    s = np.concatenate([x for h in texts for x in (_MARKS[0], h, _MARKS[1])])
+    ends = np.cumsum([len(h) + 3 for h in texts])
+    begins = np.ones(len(s), bool)
+    begins[ends - 1] = begins[ends - 2] = False
+    return s, np.flatnonzero(begins)
+
+
+class Cells:
+    """In which cell a pair's (and its triples') counts lie."""
+
+    def __init__(self, cells: int, hot: np.ndarray):
+        self.cells, self.hot = cells, np.sort(hot)
+
+    def is_hot(self, v: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hot, v)
+        at[at == len(self.hot)] = 0
+        return self.hot[at] == v
+
+    def of(self, v: np.ndarray, hot: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return range_of(np.where(hot, pair, v), self.cells)
+
+
+def _triples(where: Cells):
+    """Training texts to (cell, block of counts of triples)."""
+
+    def flush(texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, begin = stream(texts)
+        words, at = np.unique(s, return_inverse=True)
+        bits = max(1, int(len(words) - 1).bit_length())
+        if 3 * bits > 63:  # too many words for one key
+            if len(texts) > 1:
+                yield from flush(texts[: len(texts) // 2])
+                yield from flush(texts[len(texts) // 2 :])
+                return
+            key_v, key_w, key_u = at[begin + 1], at[begin + 2], at[begin]
+            order = np.lexsort((key_u, key_w, key_v))
+            v, w, u = key_v[order], key_w[order], key_u[order]
+            new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(v)))
+            v, w, u = v[first], w[first], u[first]
+        else:
+            key = np.sort((at[begin + 1] << 2 * bits) | (at[begin + 2] << bits) | at[begin])
+            first = first_of(key)
+            count = np.diff(np.append(first, len(key)))
+            key, mask = key[first], (1 << bits) - 1
+            v, w, u = key >> 2 * bits, key >> bits & mask, key & mask
+        hot = where.is_hot(words)
+        cell = range_of(words, where.cells)[v]
+        spread = np.flatnonzero(hot[v])
+        cell[spread] = range_of(paired(words[v[spread]], words[w[spread]]), where.cells)
+        order = np.argsort(cell.astype(np.uint16) if where.cells <= 1 << 16 else cell, kind="stable")  # keeps (v, w, u)
+        edge = np.searchsorted(cell[order], np.arange(where.cells + 1))
+        full, blocks = np.flatnonzero(np.diff(edge)).tolist(), []
         for k in full:
-            s = slice(edge[k], edge[k + 1])
-            order = np.argsort(v[s])
-            contexts, runs = np.unique(v[s][order], return_counts=True)
-            words, at = np.unique(w[s][order], return_inverse=True)
-            blocks.append(pack(contexts, runs, words, at, count[s][order]))
+            some = order[edge[k] : edge[k + 1]]
+            v1, w1, u1 = v[some], w[some], u[some]
+            used = np.zeros(len(words), bool)
+            used[v1] = used[w1] = used[u1] = True
+            number = np.cumsum(used) - 1
+            pair = first_of(v1 * len(words) + w1)
+            head = first_of(v1[pair])
+            blocks.append(pack(words[used], number[v1[pair[head]]], np.diff(np.append(head, len(pair))), number[w1[pair]], np.diff(np.append(pair, len(v1))), number[u1], count[some]))
         for k in range(0, len(full), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 16], pa.int32()), pa.array(blocks[k : k + 16], pa.binary())], ["range", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 16], pa.int32()), pa.array(blocks[k : k + 16], pa.binary())], ["cell", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, v, w, n = WordHashes(), [], [], 0
+        hashes, held, n = WordHashes(), [], 0
         for b in batches:
             for text in texts_of(b.column(0)):
-                a, c = sequence(hashes.of(text.split()))
-                v.append(a)
-                w.append(c)
-                n += len(a)
+                held.append(hashes.of(text.split()))
+                n += len(held[-1]) + 3
                 if n >= GATHER:
-                    yield from flush(v, w)
-                    v, w, n = [], [], 0
-        if n:
-            yield from flush(v, w)
+                    yield from flush(held)
+                    held, n = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Blocks of one range after another, from sorted rows."""
+    """Blocks of one cell after another, from sorted rows."""
     now, held = None, []
     for b in batches:
         for k, x in zip(b.column(0).to_pylist(), b.column(1)):
@@ -136,55 +325,89 @@ def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield now, held
 
 
-def store(folder: str, name: str, array: np.ndarray) -> None:
-    """Under its name in one step, so that a task that runs again does no harm."""
-    path = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
-    np.save(path, array)
-    os.replace(path, f"{folder}/{name}.npy")
+def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, v, w, u, count) of all blocks of a cell, sorted by (v, w, u), distinct."""
+    parts = [unpack(x) for x in blobs]
+    words = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]))
+    bits = max(1, int(len(words) - 1).bit_length())
+    vs, ws, us, counts = [], [], [], []
+    for own, heads, runs, seconds, sizes, thirds, count in parts:
+        at = np.searchsorted(words, own.astype(np.uint64))
+        vs.append(np.repeat(np.repeat(at[heads], runs), sizes))
+        ws.append(np.repeat(at[seconds], sizes))
+        us.append(at[thirds])
+        counts.append(count.astype(np.int64))
+    v, w, u, count = map(np.concatenate, (vs, ws, us, counts))
+    if 3 * bits <= 63:
+        key, count = summed((v << 2 * bits) | (w << bits) | u, count)
+        mask = (1 << bits) - 1
+        return words, key >> 2 * bits, key >> bits & mask, key & mask, count
+    order = np.lexsort((u, w, v))
+    v, w, u = v[order], w[order], u[order]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
+    return words, v[first], w[first], u[first], np.add.reduceat(count[order], first)
+
+
+#: What the second shuffle brings together: of a context word, of a token, of a context
+#: whose second word is frequent; below 0 counts of counts.
+CONTEXT, TOKEN, HOT = range(3)
+
+
+def _cells(folder: str, where: Cells):
+    """Blocks of triples to a file for each cell; passes on blocks of sums."""
 
-
-def _pair_arrays(folder: str, ranges: int):
-    """Blocks of pairs to stored arrays; passes on blocks of per-word sums."""
+    def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slot", "block"])
 
     def flush(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        """The sums of several ranges together: fewer and larger blocks."""
+        """The sums of several cells together: fewer and larger blocks."""
         out = []
         for tag, parts in held.items():
             h, *sums = summed(*(np.concatenate(x) for x in zip(*parts)))
-            edge = np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
+            edge = np.searchsorted(range_of(h, where.cells), np.arange(where.cells + 1))
             for r in np.flatnonzero(np.diff(edge)).tolist():
                 s = slice(edge[r], edge[r + 1])
-                out.append((2 * r + tag, pack(h[s], *(x[s] for x in sums))))
+                out.append((3 * r + tag, pack(h[s], *(x[s] for x in sums))))
         for k in range(0, len(out), 1000):
             yield batch(out[k : k + 1000])
 
-    def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slot", "block"])
+    def one(cell: int, blobs: list[bytes]) -> tuple[bytes, dict[int, tuple[np.ndarray, ...]]]:
+        words, v, w, u, count = merged(blobs)
+        pair = first_of(v * len(words) + w)
+        pv, pw = v[pair], w[pair]
+        total = np.add.reduceat(count, pair)
+        before = np.where(words[pv] == BEGIN, total, np.diff(np.append(pair, len(v))))
+        context_hash = paired(words[u], words[v])
+        arrays, order = hash_array("triple", mixed(paired(context_hash, words[w])))
+        arrays |= counts_array("triple", count[order])
+        own, order = hash_array("pair", mixed(paired(words[pv], words[pw])))
+        arrays |= own | counts_array("pair", before[order])
+        # contexts (u, v): triples by hash of the context
+        order = np.argsort(context_hash)
+        first = first_of(context_hash[order])
+        ctx, rows = context_hash[order[first]], by_count(count[order], first)
+        spread = where.is_hot(words)[v[order[first]]]
+        own, order = hash_array("context", mixed(ctx[~spread]))
+        arrays |= own | sums_array("context", rows[~spread][order])
+        save(path_of(folder, "cell", cell), arrays)
+        head = first_of(pv)
+        sums = {
+            CONTEXT: (words[pv[head]], *by_count(before, head).T),
+            TOKEN: summed(words[pw], np.ones(len(pw), np.int64), total),
+            HOT: (ctx[spread], *rows[spread].T),
+        }
+        return pack(seen_counts(count), seen_counts(before)), {k: (x[0], *(narrow(y) for y in x[1:])) for k, x in sums.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         size = 0
-        for k, blobs in by_range(batches):
-            v, w, c = [], [], []
-            for contexts, runs, words, at, count in map(unpack, blobs):
-                v.append(np.repeat(contexts.astype(np.uint64), runs))
-                w.append(words.astype(np.uint64)[at])
-                c.append(count.astype(np.int64))
-            v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
-            key = paired(v, w)
-            order = np.argsort(key)
-            key, v, w, c = key[order], v[order], w[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, v, w, c = key[first], v[first], w[first], np.add.reduceat(c.astype(np.int64), first)
-            store(folder, f"pair-key-{k}", key)
-            store(folder, f"pair-count-{k}", c.astype(np.min_scalar_type(int(c.max()))))
-            seen = np.bincount(np.minimum(c, 5), minlength=6)[1:5]  # counts of counts 1 to 4
-            yield batch([(-1, pack(seen))])
-            narrow = lambda x: tuple(a if a.dtype == np.uint64 else a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in x)
-            own = narrow(summed(v, c, c == 1, c == 2, c >= 3)), narrow(summed(w, np.ones(len(w), np.int64), c))
-            for tag, part in enumerate(own):
-                held.setdefault(tag, []).append(part)
-                size += len(part[0])
+        for cell, blobs in by_range(batches):
+            seen, sums = one(cell, blobs)
+            yield batch([(-1 - cell, seen)])
+            for tag, part in sums.items():
+                if len(part[0]):
+                    held.setdefault(tag, []).append(part)
+                    size += len(part[0])
             if size >= HOLD:
                 yield from flush(held)
                 held, size = {}, 0
@@ -193,27 +416,30 @@ def _pair_arrays(folder: str, ranges: int):
     return run
 
 
-def _word_arrays(folder: str):
-    """Blocks of per-word sums to stored arrays; passes on counts of counts."""
+def _sums(folder: str):
+    """Blocks of sums to files; passes on totals and counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, distinct, total, tokens, words = np.zeros(4, np.int64), np.zeros(4, np.int64), 0, 0, 0
-        ranges = []
+        triples, pairs, words = (np.zeros(4, np.int64) for _ in range(3))
+        distinct, tokens, kinds = 0, 0, 0
         for slot, blobs in by_range(batches):
             parts = [unpack(x) for x in blobs]
             if slot < 0:
-                seen = seen + sum(x[0].astype(np.int64) for x in parts)
+                triples = triples + sum(x[0].astype(np.int64) for x in parts)
+                pairs = pairs + sum(x[1].astype(np.int64) for x in parts)
                 continue
-            r, tag = divmod(slot, 2)
+            r, tag = divmod(slot, 3)
             h, *sums = summed(*(np.concatenate([x[k].astype(np.uint64 if k == 0 else np.int64) for x in parts]) for k in range(len(parts[0]))))
-            name = ("context", "token")[tag]
-            store(folder, f"{name}-key-{r}", h)
-            store(folder, f"{name}-sums-{r}", np.stack(sums, axis=1))
-            if tag:
-                a, c = sums
-                distinct += np.bincount(np.minimum(a, 5), minlength=6)[1:5]
-                total, tokens, words = total + int(a.sum()), tokens + int(c.sum()), words + len(h)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64()) if isinstance(x, list) else pa.int64()) for x in (seen.tolist(), distinct.tolist(), total, tokens, words)], ["pairs_seen", "contexts_seen", "total", "tokens", "words"])
+            if tag == HOT:
+                arrays, order = hash_array("context", mixed(h))
+                save(path_of(folder, "hot", r), arrays | sums_array("context", np.stack(sums, axis=1)[order]))
+            else:
+                save(path_of(folder, ("context", "token")[tag], r), {"key": h, "sums": narrow(np.stack(sums, axis=1).astype(np.uint64).ravel()).reshape(-1, len(sums))})
+            if tag == TOKEN:
+                b, c = sums
+                words += seen_counts(b)
+                distinct, tokens, kinds = distinct + int(b.sum()), tokens + int(c.sum()), kinds + len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64()) if isinstance(x, list) else pa.int64()) for x in (triples.tolist(), pairs.tolist(), words.tolist(), distinct, tokens, kinds)], ["triples", "pairs", "words", "distinct", "tokens", "kinds"])
 
     return run
 
@@ -227,80 +453,128 @@ def discounts(seen: list[int]) -> tuple[float, float, float]:
     return tuple(x if 0 < x < k else FALLBACK[k - 1] for k, x in zip((1, 2, 3), d))
 
 
+# -- scoring -----------------------------------------------------------------------
+
+
 class Model:
-    """Memory-mapped arrays and the scores from them."""
+    """Memory-mapped cells and the scores from them."""
 
-    def __init__(self, folder: str, ranges: int, spec: dict):
-        self.folder, self.ranges, self.spec = folder, ranges, spec
-        self.maps: dict[str, np.ndarray | None] = {}
+    def __init__(self, folder: str, where: Cells, spec: dict):
+        self.folder, self.where, self.spec = folder, where, spec
+        self.maps: dict[tuple[str, int], dict | None] = {}
 
-    def mapped(self, name: str) -> np.ndarray | None:
-        if name not in self.maps:
+    def mapped(self, kind: str, cell: int) -> dict[str, np.ndarray] | None:
+        got = self.maps.get((kind, cell), self)
+        if got is self:
             if len(self.maps) >= MAX_MAPS:
-                self.maps.clear()
-            path = f"{self.folder}/{name}.npy"
-            self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.maps[name]
-
-    def lookup(self, kind: str, values: str, keys: np.ndarray, width: int) -> np.ndarray:
-        """Rows of sorted distinct keys, 0 where absent."""
-        out = np.zeros((len(keys), width), np.int64)
-        edge = np.searchsorted(range_of(keys, self.ranges), np.arange(self.ranges + 1))
-        for r in np.flatnonzero(np.diff(edge)):
-            have = self.mapped(f"{kind}-key-{r}")
-            if have is None:
-                continue
-            s = slice(edge[r], edge[r + 1])
-            at = np.searchsorted(have, keys[s])
-            at[at == len(have)] = 0
-            hit = have[at] == keys[s]
-            out[s][hit] = self.mapped(f"{kind}-{values}-{r}")[at[hit]].reshape(-1, width)
+                del self.maps[next(iter(self.maps))]  # the one mapped first
+            got = self.maps[kind, cell] = load(path_of(self.folder, kind, cell))
+        return got
+
+    def words(self, kind: str, h: np.ndarray, width: int) -> np.ndarray:
+        """Sums of sorted distinct words, 0 where absent."""
+        out = np.zeros((len(h), width), np.int64)
+        edge = np.searchsorted(range_of(h, self.where.cells), np.arange(self.where.cells + 1))
+        for r in np.flatnonzero(np.diff(edge)).tolist():
+            have = self.mapped(kind, r)
+            if have is not None:
+                s = slice(edge[r], edge[r + 1])
+                at = np.searchsorted(have["key"], h[s])
+                at[at == len(have["key"])] = 0
+                hit = have["key"][at] == h[s]
+                out[s][hit] = have["sums"][at[hit]]
         return out
 
-    def scores(self, h: list[np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
+    def hashes(self, kind: str, name: str, cell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Counts (or rows of four sums, of contexts) by cell and hash, 0 where absent."""
+        rows = name == "context"
+        out = np.zeros((len(h), 4) if rows else len(h), np.int64)
+        order = np.argsort(cell.astype(np.uint16) if self.where.cells <= 1 << 16 else cell, kind="stable")
+        edge = np.searchsorted(cell[order], np.arange(self.where.cells + 1))
+        key = mixed(h)
+        for r in np.flatnonzero(np.diff(edge)).tolist():
+            have = self.mapped(kind, r)
+            if have is not None and len(have[f"{name}.low"]):
+                own = order[edge[r] : edge[r + 1]]
+                at, hit = find(have, name, key[own])
+                out[own[hit]] = (read_sums if rows else read_counts)(have, name, at[hit])
+        return out
+
+    def scores(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of texts given as word hashes."""
-        s, both = self.spec, [sequence(x) for x in h]
-        v, w = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
-        n_all, n_words = s["tokens"], s["words"]
-        words, at_w = np.unique(w, return_inverse=True)
-        tokens = self.lookup("token", "sums", words, 2)
-        contexts, at_v = np.unique(v, return_inverse=True)
-        ctx = self.lookup("context", "sums", contexts, 4).astype(np.float64)
-        pairs, at_p = np.unique(paired(v, w), return_inverse=True)
-        c = self.lookup("pair", "count", pairs, 1)[:, 0]
+        spec, where = self.spec, self.where
+        s, begin = stream(texts)
+        words, at = np.unique(s, return_inverse=True)
+        hot, own = where.is_hot(words), range_of(words, where.cells)
+        n_all, n_words = spec["tokens"], spec["kinds"]
+        tokens, contexts = self.words("token", words, 2), self.words("context", words, 4).astype(np.float64)
+        # distinct pairs, as context of the next word and as a pair of the word before
+        pairs, pair_at = np.unique(at[:-1] * len(words) + at[1:], return_inverse=True)
+        first, second = np.divmod(pairs, len(words))
+        h = paired(words[first], words[second])
+        cell = where.of(words[first], hot[first], h)
+        a = self.hashes("cell", "pair", cell, h)
+        sums = np.zeros((len(pairs), 4))
+        cold = np.flatnonzero(~hot[second])
+        sums[cold] = self.hashes("cell", "context", own[second[cold]], h[cold])
+        warm = np.flatnonzero(hot[second])
+        sums[warm] = self.hashes("hot", "context", range_of(h[warm], where.cells), h[warm])
+        before, after, w = pair_at[begin], pair_at[begin + 1], at[begin + 2]
+        c = self.hashes("cell", "triple", cell[after], paired(h[before], words[w]))
         base = np.log10((tokens[:, 1] + 0.5) / (n_all + 0.5 * (n_words + 1)))
-        d, low = np.array([0.0, *s["d_pairs"]]), np.array([0.0, *s["d_words"]])
-        if s["total"]:
-            p1 = (tokens[:, 0] - low[np.minimum(tokens[:, 0], 3)]) / s["total"] + s["share"] / (n_words + 1)
-        else:
-            p1 = np.full(len(words), 1.0 / (n_words + 1))
-        seen = ctx[:, 0] > 0
-        share = np.where(seen, (ctx[:, 1:] @ d[1:]) / np.where(seen, ctx[:, 0], 1), 1.0)
-        own = (c - d[np.minimum(c, 3)])[at_p] / np.where(seen, ctx[:, 0], 1)[at_v]
-        score = np.log10(own + share[at_v] * p1[at_w])
-        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in h])[:-1]])
-        known = np.add.reduceat((tokens[:, 1] > 0)[at_w].astype(np.int64), first)
-        yield from zip([len(x) + 1 for x in h], known.tolist(), np.add.reduceat(base[at_w], first).tolist(), np.add.reduceat(score, first).tolist())
+        d1, d2, d3 = (np.array([0.0, *spec[k]]) for k in ("d1", "d2", "d3"))
+        b = tokens[:, 0]
+        p1 = (b - d1[np.minimum(b, 3)]) / spec["distinct"] + spec["share"] / (n_words + 1) if spec["distinct"] else np.full(len(words), 1.0 / (n_words + 1))
+
+        def shares(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(total, share of the shorter context) of contexts; unseen: 1, all."""
+            seen = rows[:, 0] > 0
+            total = np.where(seen, rows[:, 0], 1.0)
+            return total, np.where(seen, rows[:, 1:] @ d[1:] / total, 1.0)
+
+        total, share = shares(contexts, d2)
+        p2 = (a - d2[np.minimum(a, 3)]) / total[first] + share[first] * p1[second]
+        total, share = shares(sums, d3)
+        score = np.log10((c - d3[np.minimum(c, 3)]) / total[before] + share[before] * p2[after])
+        size = np.array([len(x) + 1 for x in texts])
+        starts = np.cumsum(size) - size
+        known = np.add.reduceat((tokens[:, 1] > 0)[w].astype(np.int64), starts)
+        yield from zip(size.tolist(), known.tolist(), np.add.reduceat(base[w], starts).tolist(), np.add.reduceat(score, starts).tolist())
+
+
+def frequent(texts: DataFrame, rows: int, cells: int) -> np.ndarray:
+    """Hashes of words whose share in a sample could fill a quarter of a cell, and of the
+    begin mark."""
+    some = texts.sample(min(1.0, SAMPLE / max(rows, 1)), seed=7)
+    counts = some.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(20.0, total * max(LEAST_SHARE, 0.25 / cells))
+    words = counts.where((F.col("n") >= least) & (F.col("w") != "")).select("w").collect()  # at most 1 / LEAST_SHARE words
+    found = [xxhash.xxh64_intdigest(r.w.encode()) for r in words]
+    return np.array([*found, int(BEGIN)], np.uint64)
 
 
 def train(texts: DataFrame) -> Model:
     """The model of all rows of ``texts`` (text)."""
     spark = texts.sparkSession
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    ranges = max(4, -(-size // RANGE_BYTES))
+    own = texts.select("text")
+    size = own.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
+    cells = max(4, -(-(size["n"] or 0) // CELL_BYTES))
+    where = Cells(cells, frequent(own, size["rows"], cells))
     folder = local_path(new_folder(spark, "lm"))
     os.makedirs(folder)
-    pairs = texts.select("text").mapInArrow(_pair_blocks(ranges), "range int, block binary")
-    pairs = pairs.repartition("range").sortWithinPartitions("range")
-    words = pairs.mapInArrow(_pair_arrays(folder, ranges), "slot int, block binary")
-    words = words.repartition("slot").sortWithinPartitions("slot")
-    rows = words.mapInArrow(_word_arrays(folder), "pairs_seen array<long>, contexts_seen array<long>, total long, tokens long, words long").collect()  # one for each task
-    spec = {k: sum(r[k] for r in rows) for k in ("total", "tokens", "words")}
-    seen, distinct = ([sum(r[k][i] for r in rows) for i in range(4)] for k in ("pairs_seen", "contexts_seen"))
-    spec["d_pairs"], spec["d_words"] = discounts(seen), discounts(distinct)
-    more = spec["words"] - distinct[0] - distinct[1]
-    spec["share"] = (spec["d_words"][0] * distinct[0] + spec["d_words"][1] * distinct[1] + spec["d_words"][2] * more) / spec["total"] if spec["total"] else 1.0
-    return Model(folder, ranges, spec)
+    triples = own.mapInArrow(_triples(where), "cell int, block binary")
+    triples = triples.repartition("cell").sortWithinPartitions("cell")
+    sums = triples.mapInArrow(_cells(folder, where), "slot int, block binary")
+    sums = sums.repartition("slot").sortWithinPartitions("slot")
+    rows = sums.mapInArrow(_sums(folder), "triples array<long>, pairs array<long>, words array<long>, distinct long, tokens long, kinds long").collect()  # one for each task
+    spec = {k: sum(r[k] for r in rows) for k in ("distinct", "tokens", "kinds")}
+    seen = {k: [sum(r[k][i] for r in rows) for i in range(4)] for k in ("triples", "pairs", "words")}
+    spec |= {"d3": discounts(seen["triples"]), "d2": discounts(seen["pairs"]), "d1": discounts(seen["words"])}
+    ones, twos = seen["words"][:2]
+    kept = spec["d1"][0] * ones + spec["d1"][1] * twos + spec["d1"][2] * (spec["kinds"] - ones - twos)
+    spec["share"] = kept / spec["distinct"] if spec["distinct"] else 1.0
+    return Model(folder, where, spec)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -308,10 +582,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text); other columns named in ``docs`` are kept in front."""
     keep = [c for c in docs.columns if c != "text"]
     own = docs.select(*keep, "text")
-    folder, ranges, spec = model.folder, model.ranges, model.spec
+    folder, where, spec = model.folder, model.where, model.spec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = WordHashes(), Model(folder, ranges, spec)
+        hashes, m = WordHashes(), Model(folder, where, spec)
         for b in batches:
             found, held, n = [], [], 0
             for text in texts_of(b.column(len(keep))):

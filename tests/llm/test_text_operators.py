@@ -95,37 +95,52 @@ def test_merge_rounds_on_random_words(library):
 
 
 def brute_scores(docs):
-    """[(id, text)] -> {id: (tokens, known, base, score)} and the conditional P."""
+    """[(id, text)] -> [(id, tokens, known, N, base, score)] and the conditional P."""
     tokens = lambda t: [*"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split(), None]
-    pairs, uni = Counter(), Counter()
+    triples, uni = Counter(), Counter()
     for i, t in docs:
         if zlib.crc32(str(i).encode() if i is not None else b"") % 5 != 1:
             x = tokens(t)
             uni.update(x)
-            pairs.update(zip([0, *x[:-1]], x))
+            s = [0, 0, *x]
+            triples.update(zip(s, s[1:], s[2:]))
+    pairs = Counter()
+    for (u, v, w), c in triples.items():
+        pairs[v, w] += c if v == 0 else 1
     left = Counter(w for _, w in pairs)
-    n, v, total = sum(uni.values()), len(uni), len(pairs)
-    ctx = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in pairs.items():
-        ctx[a][0] += c
-        ctx[a][min(c, 3)] += 1
+    n, v_all, total = sum(uni.values()), len(uni), len(pairs)
+
+    def contexts(counts):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for k, c in counts.items():
+            out[k[:-1]][0] += c
+            out[k[:-1]][min(c, 3)] += 1
+        return out
+
+    ctx3, ctx2 = contexts(triples), contexts(pairs)
     seen = lambda z: [sum(x == k for x in z) for k in (1, 2, 3, 4)]
-    d, e = ([0, *scoring.discounts(seen(z.values()))] for z in (pairs, left))
-    share = sum(e[min(x, 3)] for x in left.values()) / total if total else 1.0
+    d3, d2, d1 = ([0, *scoring.discounts(seen(z.values()))] for z in (triples, pairs, left))
+    share = sum(d1[min(x, 3)] for x in left.values()) / total if total else 1.0
+
+    def one(w):
+        return (left[w] - d1[min(left[w], 3)]) / total + share / (v_all + 1) if total else 1 / (v_all + 1)
 
-    def p(a, w):
-        one = (left[w] - e[min(left[w], 3)]) / total + share / (v + 1) if total else 1 / (v + 1)
-        if a not in ctx:
-            return one
-        t, c = ctx[a], pairs.get((a, w), 0)
-        return (c - d[min(c, 3)]) / t[0] + sum(d[k] * t[k] for k in (1, 2, 3)) / t[0] * one
+    def longer(counts, ctx, d, key, lower):
+        if key[:-1] not in ctx:
+            return lower
+        t, c = ctx[key[:-1]], counts.get(key, 0)
+        return (c - d[min(c, 3)]) / t[0] + sum(d[k] * t[k] for k in (1, 2, 3)) / t[0] * lower
+
+    def p(u, v, w):
+        return longer(triples, ctx3, d3, (u, v, w), longer(pairs, ctx2, d2, (v, w), one(w)))
 
     out = []
     for i, t in docs:
         x = tokens(t)
-        base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
-        out.append((i, len(x), sum(uni[w] > 0 for w in x), n, base, sum(math.log10(p(a, w)) for a, w in zip([0, *x[:-1]], x))))
-    return out, p, left, ctx
+        base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v_all + 1))) for w in x)
+        s = [0, 0, *x]
+        out.append((i, len(x), sum(uni[w] > 0 for w in x), n, base, sum(math.log10(p(*z)) for z in zip(s, s[1:], s[2:]))))
+    return out, p, left, ctx3
 
 
 def test_scores_equal_brute_force(spark, sf_dir, texts):
@@ -135,8 +150,8 @@ def test_scores_equal_brute_force(spark, sf_dir, texts):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
-    for a in [*list(ctx)[:3], b"never seen"]:
-        assert sum(p(a, w) for w in [*left, b"never seen"]) == pytest.approx(1)
+    for a in [*list(ctx)[:3], (b"the", b"never seen"), (b"never seen", 0)]:
+        assert sum(p(*a, w) for w in [*left, b"never seen"]) == pytest.approx(1)
     out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
@@ -155,6 +170,36 @@ def test_score_edges(spark, edge_docs, no_docs):
     assert scoring.score(no_docs.select("doc_id", "text"), model).count() == 0
 
 
+def test_scores_do_not_depend_on_cells(spark, texts, monkeypatch):
+    """Many cells and many frequent words give the same scores."""
+    monkeypatch.setattr(scoring, "CELL_BYTES", 5000)
+    monkeypatch.setattr(scoring, "frequent", lambda *_: np.array([scoring.xxhash.xxh64_intdigest(w) for w in (b"the", b"of", b"a", b"and", b"w1")] + [int(scoring.BEGIN)], np.uint64))
+    docs = list(texts.items())[:80]
+    df = spark.createDataFrame([(i, scoring_lower(t)) for i, t in docs], "doc_id long, text string").repartition(3)
+    model = scoring.train(df.where(scoring.id_crc_mod5(scoring.F.col("doc_id")) != 1).select("text"))
+    assert model.where.cells > 20
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in scoring.score(df, model).collect()}
+    for i, n, known, _, base, score in brute_scores(docs)[0]:
+        assert got[i][:2] == (n, known) and got[i][2:] == pytest.approx((base, score), abs=1e-6)
+
+
+def scoring_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_hash_arrays():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 1000, 70_000):
+        key = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        value = rng.choice([1, 2, 3, 254, 255, 256, 10**10], n)
+        rows = np.stack([value, rng.integers(0, 3, n), rng.integers(0, 300, n), rng.integers(0, 2, n)], axis=1)
+        arrays, order = scoring.hash_array("x", key)
+        arrays |= scoring.counts_array("x", value[order]) | scoring.sums_array("y", rows[order])
+        at, hit = scoring.find(arrays, "x", key)
+        assert hit.all() and (scoring.read_counts(arrays, "x", at) == value).all() and (scoring.read_sums(arrays, "y", at) == rows).all()
+        assert not scoring.find(arrays, "x", rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2) + np.uint64(1))[1].any()
+
+
 # quality
 
 
