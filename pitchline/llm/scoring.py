@@ -47,7 +47,7 @@ from .common import WordHashes, id_crc_mod5, local_path, mixed, new_folder, pair
 BEGIN = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 #: Tokens that a map task gathers before it passes their counts on.
-GATHER = 4_000_000
+GATHER = 5_000_000
 #: Per-word sums that a reduce task holds together before it passes them on.
 HOLD = 2_000_000
 #: Files that a worker keeps mapped; systems allow some 65,000.
@@ -66,11 +66,11 @@ _MARKS = np.array([BEGIN, BEGIN]), np.array([END])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays, each in the narrowest type, compressed."""
+    """Unsigned arrays, each in the narrowest type, byte by byte, compressed."""
     out = []
     for a in arrays:
         a = narrow(a)
-        out.append(np.array([a.itemsize, len(a)], np.int64).tobytes() + a.tobytes())
+        out.append(np.array([a.itemsize, len(a)], np.int64).tobytes() + a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -79,7 +79,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
         item, n = np.frombuffer(blob, np.int64, 2, at).tolist()
-        out.append(np.frombuffer(blob, f"u{item}", n, at + 16))
+        out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, item * n, at + 16).reshape(item, n).T).view(f"u{item}").ravel())
         at += 16 + item * n
     return out
 
@@ -258,25 +258,22 @@ def _triples(where: Cells):
     def flush(texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s, begin = stream(texts)
         words, at = np.unique(s, return_inverse=True)
+        del s
         bits = max(1, int(len(words) - 1).bit_length())
         if 3 * bits > 63:  # too many words for one key
-            if len(texts) > 1:
-                yield from flush(texts[: len(texts) // 2])
-                yield from flush(texts[len(texts) // 2 :])
-                return
-            key_v, key_w, key_u = at[begin + 1], at[begin + 2], at[begin]
-            order = np.lexsort((key_u, key_w, key_v))
-            v, w, u = key_v[order], key_w[order], key_u[order]
-            new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(v)))
-            v, w, u = v[first], w[first], u[first]
+            v, w, u = at[begin + 1], at[begin + 2], at[begin]
+            v, w, u, count = distinct(v, w, u, np.ones(len(v), np.int64))
         else:
-            key = np.sort((at[begin + 1] << 2 * bits) | (at[begin + 2] << bits) | at[begin])
+            key = at[begin + 1]
+            for part in (at[begin + 2], at[begin]):
+                key <<= bits
+                key |= part
+            del at, begin, part
+            key.sort()
             first = first_of(key)
             count = np.diff(np.append(first, len(key)))
-            key, mask = key[first], (1 << bits) - 1
-            v, w, u = key >> 2 * bits, key >> bits & mask, key & mask
+            v, w, u = parts_of(key[first], bits)
+            del key, first
         hot = where.is_hot(words)
         cell = range_of(words, where.cells)[v]
         spread = np.flatnonzero(hot[v])
@@ -290,9 +287,9 @@ def _triples(where: Cells):
             used = np.zeros(len(words), bool)
             used[v1] = used[w1] = used[u1] = True
             number = np.cumsum(used) - 1
-            pair = first_of(v1 * len(words) + w1)
+            pair = first_of(v1.astype(np.int64) * len(words) + w1)
             head = first_of(v1[pair])
-            blocks.append(pack(words[used], number[v1[pair[head]]], np.diff(np.append(head, len(pair))), number[w1[pair]], np.diff(np.append(pair, len(v1))), number[u1], count[some]))
+            blocks.append(pack(np.diff(words[used], prepend=np.uint64(0)), number[v1[pair[head]]], np.diff(np.append(head, len(pair))), number[w1[pair]], np.diff(np.append(pair, len(v1))), number[u1], count[some]))
         for k in range(0, len(full), 16):
             yield pa.RecordBatch.from_arrays([pa.array(full[k : k + 16], pa.int32()), pa.array(blocks[k : k + 16], pa.binary())], ["cell", "block"])
 
@@ -311,6 +308,19 @@ def _triples(where: Cells):
     return run
 
 
+def parts_of(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask = (1 << bits) - 1
+    return (key >> 2 * bits).astype(np.int32), (key >> bits & mask).astype(np.int32), (key & mask).astype(np.int32)
+
+
+def distinct(v: np.ndarray, w: np.ndarray, u: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted by (v, w, u), equal ones summed; for numbers too large for one key."""
+    order = np.lexsort((u, w, v))
+    v, w, u = v[order], w[order], u[order]
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
+    return v[first], w[first], u[first], np.add.reduceat(count[order], first)
+
+
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """Blocks of one cell after another, from sorted rows."""
     now, held = None, []
@@ -328,24 +338,29 @@ def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, v, w, u, count) of all blocks of a cell, sorted by (v, w, u), distinct."""
     parts = [unpack(x) for x in blobs]
-    words = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]))
+    for p in parts:
+        p[0] = np.cumsum(p[0], dtype=np.uint64)
+    words = np.unique(np.concatenate([p[0] for p in parts]))
     bits = max(1, int(len(words) - 1).bit_length())
-    vs, ws, us, counts = [], [], [], []
-    for own, heads, runs, seconds, sizes, thirds, count in parts:
-        at = np.searchsorted(words, own.astype(np.uint64))
-        vs.append(np.repeat(np.repeat(at[heads], runs), sizes))
-        ws.append(np.repeat(at[seconds], sizes))
-        us.append(at[thirds])
+    one_key, held, counts = 3 * bits <= 63, [], []
+    while parts:
+        own, heads, runs, seconds, sizes, thirds, count = parts.pop()
+        at = np.searchsorted(words, own)
+        vwu = [np.repeat(np.repeat(at[heads], runs), sizes), np.repeat(at[seconds], sizes), at[thirds]]
+        if one_key:
+            key = vwu[0]
+            for part in vwu[1:]:
+                key <<= bits
+                key |= part
+            vwu = [key]
+        held.append(vwu)
         counts.append(count.astype(np.int64))
-    v, w, u, count = map(np.concatenate, (vs, ws, us, counts))
-    if 3 * bits <= 63:
-        key, count = summed((v << 2 * bits) | (w << bits) | u, count)
-        mask = (1 << bits) - 1
-        return words, key >> 2 * bits, key >> bits & mask, key & mask, count
-    order = np.lexsort((u, w, v))
-    v, w, u = v[order], w[order], u[order]
-    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-    return words, v[first], w[first], u[first], np.add.reduceat(count[order], first)
+    columns, count = [np.concatenate(x) for x in zip(*held)], np.concatenate(counts)
+    del held, counts
+    if one_key:
+        key, count = summed(columns.pop(), count)
+        return words, *parts_of(key, bits), count
+    return words, *distinct(*columns, count)
 
 
 #: What the second shuffle brings together: of a context word, of a token, of a context
@@ -373,13 +388,15 @@ def _cells(folder: str, where: Cells):
 
     def one(cell: int, blobs: list[bytes]) -> tuple[bytes, dict[int, tuple[np.ndarray, ...]]]:
         words, v, w, u, count = merged(blobs)
-        pair = first_of(v * len(words) + w)
+        pair = first_of(v.astype(np.int64) * len(words) + w)
         pv, pw = v[pair], w[pair]
         total = np.add.reduceat(count, pair)
         before = np.where(words[pv] == BEGIN, total, np.diff(np.append(pair, len(v))))
         context_hash = paired(words[u], words[v])
+        del u
         arrays, order = hash_array("triple", mixed(paired(context_hash, words[w])))
         arrays |= counts_array("triple", count[order])
+        del w
         own, order = hash_array("pair", mixed(paired(words[pv], words[pw])))
         arrays |= own | counts_array("pair", before[order])
         # contexts (u, v): triples by hash of the context
