@@ -7,20 +7,27 @@ lattices of what each character may stand for, and Viterbi finds the likeliest c
 words under a character trigram model. The restored text is scored.
 
 Character model: trigrams of the whole corpus, mixed with those of the learned words,
-over 64 character classes, so at most 2^18 counts whatever the corpus. Score: words and
-their first four to six letters are features; each has two readings, "marks toxic
-texts" and "has no bearing", weighed by the labelled texts with and without it, with a
-prior of few marks among all features seen. A mark must also be right in
-``LEAST_PRECISION`` of the texts that hold it. A document's score is that of its
-strongest feature. Only features likelier to be marks than not are kept.
+over 64 character classes, so at most 2^18 counts whatever the corpus. A span is read
+from left to right with back pointers; what all open readings agree on is settled at
+once, and after ``OPEN`` characters the best reading so far is, so a span of any length
+takes time in proportion.
+
+Score: words and their first four to six letters are features; each has two readings,
+"marks toxic texts" and "has no bearing", weighed by the labelled texts with and without
+it, with a prior of few marks among all features seen. A mark must also be right in
+``LEAST_PRECISION`` of the texts that hold it. With a mark, the log odds are those of
+the strongest marked word and ``MORE`` of what the other marked words have. Without one
+they start at ``NO_MARK`` and move by ``GRADE`` times the mean log likelihood ratio of
+the text's words (hashed into ``BUCKETS``), within bounds that keep the text clean.
 
 Labels come only from rows whose crc32 of the id modulo 5 is not 0, at most
 ``MAX_LABELLED`` of them, those of the smallest hashes; near copies among these teach
 once, else the rare words of one much-copied toxic text would be marks. Neither
 labels, language, source nor id enter a score.
 
-Defined cases: null and empty texts have no features and get the lowest score; rows that
-repeat are scored alike; null ids teach nothing; without labels nothing is toxic.
+Defined cases: null and empty texts have no features and get the score of ``NO_MARK``;
+rows that repeat are scored alike; null ids teach nothing; without labels nothing is
+toxic.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, WordHashes, id_crc_mod5, mixed, paired, staged, table, texts_of
+from .common import CACHE_WORDS, WordHashes, id_crc_mod5, mixed, paired, release, staged, table, texts_of
 
 MAX_LABELLED = 40_000
 #: Of toxic texts that hold a mark, and of marks among the features seen.
@@ -45,6 +52,13 @@ LEAST_PRECISION = 0.93
 MARKS_EXPECTED = 20.0
 PREFIXES = (4, 5, 6)
 NO_MARK = -4.0
+#: Of the other marked words' odds; of a mean log ratio, and how far that moves a text.
+MORE, GRADE, LOWEST, HIGHEST = 0.1, 4.0, -7.0, -1.0
+BUCKETS = 1 << 16
+#: Smoothing of a bucket: so many texts of the usual share of toxic ones.
+BUCKET_PRIOR = 4.0
+#: Characters of a span whose reading may stay open.
+OPEN = 512
 CLASSES = 64
 #: Near copies: triples of words, bands of least hashes.
 BANDS, BAND_ROWS = 8, 4
@@ -55,7 +69,7 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "(": "c", "<": "c", "£": "l", "*": "aeiou", "#": "aeiou",
 }
-SEPARATORS = " .-_*'~"
+SEPARATORS = " .-_*'~,\t\n\r"
 COST_SIGN, COST_WILD, COST_DROP, COST_JOIN, COST_SPLIT, COST_REPEAT = -1.0, -2.5, -5.0, -0.2, -1.5, -0.6
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüÿßœ"
@@ -73,15 +87,28 @@ def _fill() -> None:
 
 _fill()
 
-_EDGE = regex.compile(r"^[^\p{L}\p{N}@$]+|[^\p{L}\p{N}]+$")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}0-9@$!|][ .\-_*'~]){2,}[\p{L}0-9@$!|](?![\p{L}\p{N}])")
+_FIRST, _LAST = regex.compile(r"[\p{L}\p{N}@$]"), regex.compile(r"(?r)[\p{L}\p{N}]")
+#: Letters one by one, up to three separators between them.
+_UNIT = r"[\p{L}0-9@$!|][ .\-_*'~,\t\n\r]{1,3}"
+_SPACED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_UNIT}){{2,}}[\p{{L}}0-9@$!|](?![\p{{L}}\p{{N}}])")
+_HEAD, _TAIL = regex.compile(_UNIT), regex.compile(r"[ .\-_*'~,\t\n\r]{1,3}[\p{L}0-9@$!|]$")
 _SIGNS = regex.compile(r"[0-9@$!|+€(<£*#.\-_'~]")
 _THRICE = regex.compile(r"(\p{L})\1\1")
+_DOUBLED = regex.compile(r"(\p{L})\1")
 _LETTER = regex.compile(r"\p{L}")
+_EDGE_SIGN = regex.compile(r"^[!|(<£€+*#0-9]|[@$!|+€(<£*#]$")
+PLAIN_EDGES = ".,;:?\"'()[]{}-_~`´’“”«»…"
+#: Letters of a span beside which a word of one letter may stand.
+SHORT_SPAN = 64
 
 
 def core(word: str) -> str:
-    return _EDGE.sub("", word)
+    """The word from its first letter, digit, @ or $ to its last letter or digit."""
+    first = _FIRST.search(word)
+    last = _LAST.search(word)
+    if first is None:
+        return ""
+    return word[first.start() : last.end() if last is not None and last.end() > first.start() else first.start()]
 
 
 def features(word: str) -> list[str]:
@@ -134,22 +161,43 @@ class CharModel:
 
     def restore(self, span: str) -> str:
         """The likeliest clean reading of a lower-case span."""
-        log, states = self.log, {(0, 0): (0.0, "")}
+        log, states = self.log, {(0, 0): 0.0}
+        back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+        done: list[str] = []
+
+        def settle(state: tuple[int, int]) -> None:
+            read = []
+            for step in reversed(back):
+                state, reading = step[state]
+                read.append(reading)
+            done.extend(reversed(read))
+            back.clear()
+
         for readings in [*self.lattice(span), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            new: dict[tuple[int, int], float] = {}
+            step: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for state, score in states.items():
                 for reading, cost in readings:
-                    x, y, s = a, b, score + cost
+                    x, y = state
+                    s = score + cost
                     for ch in reading:
                         k = 0 if ch == " " else CLASS.get(ch, 1)
                         if k == 0 and y == 0:
                             continue  # edges fold into one
                         s += log[x][y][k]
                         x, y = (0, 0) if k == 0 else (y, k)
-                    if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = (s, text + reading)
+                    if (x, y) not in new or s > new[x, y]:
+                        new[x, y] = s
+                        step[x, y] = (state, reading)
+            back.append(step)
             states = new
-        return max(states.values())[1].strip()
+            if len(states) == 1 or len(back) >= OPEN:
+                best = max(states, key=states.__getitem__)
+                settle(best)
+                states = {best: 0.0}
+        if back:
+            settle(max(states, key=states.__getitem__))
+        return "".join(done).strip()
 
 
 def codes(text: str) -> np.ndarray:
@@ -167,13 +215,22 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def disguised(word: str) -> bool:
-    return bool(_LETTER.search(word)) and bool(_SIGNS.search(word) or _THRICE.search(word))
+    return bool(_LETTER.search(word)) and bool(_SIGNS.search(word) or _THRICE.search(word) or len(_DOUBLED.findall(word)) >= 3)
+
+
+def bucket(word: str) -> int:
+    """As Spark's xxhash64 of the word, modulo a power of two."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) % BUCKETS
 
 
 class Scorer:
-    def __init__(self, model: CharModel, odds: dict[str, float]):
+    """Scores of texts, from the character model, the marks' odds and the log likelihood
+    ratios of hashed words."""
+
+    def __init__(self, model: CharModel, odds: dict[str, float], ratio: np.ndarray | None = None):
         self.model, self.odds = model, odds
-        self.words: dict[str, float] = {}
+        self.ratio = [0.0] * BUCKETS if ratio is None else ratio.tolist()
+        self.words: dict[str, tuple[float, float]] = {}
         self.spans: dict[str, str] = {}
 
     def restored(self, span: str) -> str:
@@ -181,42 +238,58 @@ class Scorer:
             self.spans.clear()
         out = self.spans.get(span)
         if out is None:
-            out = self.spans[span] = self.model.restore(span)
+            out = self.model.restore(span)
+            if len(span) <= SHORT_SPAN:
+                self.spans[span] = out
         return out
 
     def plain(self, word: str) -> float:
         return max((self.odds.get(f, NO_MARK) for f in features(word)), default=NO_MARK)
 
-    def word(self, raw: str) -> float:
+    def word(self, raw: str) -> tuple[float, float]:
+        """(odds of the strongest feature, log ratio) of a word as it stands."""
         w = core(raw)
-        best = self.plain(w)
+        best, reading = self.plain(w), w
         if best < 0 and disguised(w):
-            best = max([best, *map(self.plain, self.restored(w).split())])
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self.words[raw] = best
-        return best
+            found = self.restored(w).split()
+            best = max([best, *map(self.plain, found)])
+            reading = found[0] if len(found) == 1 else w
+        if best < 0 and _EDGE_SIGN.search(whole := raw.strip(PLAIN_EDGES)) and _LETTER.search(whole):
+            # a sign at the edge may be a letter or not; only whole words count here
+            best = max([best, *(self.odds.get(x, NO_MARK) for x in self.restored(whole).split())])
+        out = best, self.ratio[bucket(reading)] if reading else 0.0
+        if len(raw) <= SHORT_SPAN:
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            self.words[raw] = out
+        return out
 
     def text(self, text: str) -> float:
-        """Log odds of the strongest feature of the restored text."""
+        """Log odds of the restored text."""
         text, known = text.lower(), self.words
-        best = NO_MARK
+        marks, total, n = [], 0.0, 0
         for w in set(text.split()):
-            s = known.get(w)
-            if s is None:
-                s = self.word(w)
-            if s > best:
-                best = s
-        if best < 0:
+            odds, ratio = known.get(w) or self.word(w)
+            if odds > 0:
+                marks.append(odds)
+            total += ratio
+            n += 1
+        if not marks:
             for m in _SPACED.finditer(text):
                 span = m.group()
-                for part in (span, span[2:], span[:-2]):  # a word of one letter may stand beside it
-                    best = max([best, *map(self.plain, self.restored(part).split())])
-        return best
+                if _LETTER.search(span):
+                    parts = [span]
+                    if len(span) <= SHORT_SPAN:  # a word of one letter may stand beside it
+                        parts += [span[_HEAD.match(span).end() :], span[: _TAIL.search(span).start()]]
+                    marks += [x for part in parts if (x := max(map(self.plain, self.restored(part).split()), default=NO_MARK)) > 0]
+        if marks:
+            best = max(marks)
+            return best + MORE * (sum(marks) - best)
+        return min(max(NO_MARK + GRADE * total / n, LOWEST), HIGHEST) if n else NO_MARK
 
     def clean(self, text: str) -> str:
         """The restored text itself."""
-        text = _SPACED.sub(lambda m: self.restored(m.group()), text.lower())
+        text = _SPACED.sub(lambda m: self.restored(m.group()) if _LETTER.search(m.group()) else m.group(), text.lower())
         return " ".join(self.restored(core(w)) if disguised(core(w)) else w for w in text.split())
 
 
@@ -293,8 +366,8 @@ def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out([f"\0{k}" for k in full], cells[full].tolist(), [0] * len(full))
 
 
-def train(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABELLED) -> tuple[CharModel, dict[str, float]]:
-    """The character model and the marks, from ``docs`` (doc_id, text) and ``labels``
+def train(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABELLED) -> tuple[CharModel, dict[str, float], np.ndarray]:
+    """The character model, the marks and the buckets' log ratios, from ``docs`` (doc_id, text) and ``labels``
     (doc_id, toxic) of rows that may teach."""
     spark = docs.sparkSession
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (id_crc_mod5(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -321,13 +394,18 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABELLED) -> tu
     odds = F.lit(math.log(prior / (1 - prior))) + F.col("n_toxic") * F.lit(math.log(MARK_PRECISION / base)) + (F.col("n") - F.col("n_toxic")) * F.lit(math.log((1 - MARK_PRECISION) / (1 - base)))
     marks = found.withColumn("odds", odds).where(f"odds > 0 AND n_toxic >= {LEAST_PRECISION} * n").collect()  # marks of at most MAX_LABELLED texts
     odds = {r.feature: min(r.odds, 12.0) for r in marks}
-    return CharModel(cells, [f for f in odds if not f.endswith("~")]), odds
+    ratio = np.zeros(BUCKETS)
+    whole = found.where(~F.col("feature").endswith("~")).groupBy(F.pmod(F.xxhash64("feature"), F.lit(BUCKETS)).alias("k")).agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
+    for r in whole.collect():  # at most BUCKETS rows
+        share = (r.n_toxic + BUCKET_PRIOR * base) / (r.n + BUCKET_PRIOR)
+        ratio[r.k] = math.log(share / base) - math.log((1 - share) / (1 - base))
+    release(counted)
+    return CharModel(cells, [f for f in odds if not f.endswith("~")]), odds, ratio
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, predicted) for each row of ``docs`` (doc_id, text)."""
-    model, odds = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model, odds))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

@@ -259,12 +259,12 @@ def learned(spark):
     return toxicity.Scorer(*toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")))
 
 
-@pytest.mark.parametrize("text", ["you 1d10t", "a m0r0n", "c l o w n", "idiooooot", "l.o.s.e.r", "tra5h", "w o r t h l e s s", "PATH3TIC!!", "m-o-r-o-n"])
+@pytest.mark.parametrize("text", ["you 1d10t", "a m0r0n", "c l o w n", "idiooooot", "l.o.s.e.r", "tra5h", "w o r t h l e s s", "PATH3TIC!!", "m-o-r-o-n", "!diot", "idi0+", "iiddiioott", "c  l  o  w  n", "c,\tl, o, w,\nn"])
 def test_disguises_are_seen_through(learned, text):
     assert learned.text(text) > 0
 
 
-@pytest.mark.parametrize("text", ["", "the house", "dd93acb406f036cedd", "of%%% the&&&", "rrrr", "llll", "a a a a a", "12 34 56", "mail7@example.com"])
+@pytest.mark.parametrize("text", ["", "the house", "dd93acb406f036cedd", "of%%% the&&&", "rrrr", "llll", "a a a a a", "12 34 56", "mail7@example.com", "committee", "THE!! A!! IN!!"])
 def test_clean_texts_stay_clean(learned, text):
     assert learned.text(text) < 0
 
@@ -309,3 +309,62 @@ def test_toxicity_edges(spark, edge_docs, no_docs, no_labels):
 def test_near_copies_teach_once():
     signed = [(1, [7, 8]), (2, [8, 9]), (3, [1, 2]), (4, [9, 5])]
     assert toxicity.firsts(signed) == {1, 3}
+
+
+def test_marks_and_ratios_equal_brute_force(spark):
+    """What training learns, from plain counts, and a text's score from what is learned."""
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("re", "su", "ta", "vo") for c in ("n", "rt", "lle", "x")]
+    data = []
+    for k in range(400):
+        own = [rng.choice(words) for _ in range(25)]
+        if k % 4 == 0:
+            own[rng.randrange(25)] = rng.choice(["grobian", "flegel"])
+        data.append((k, " ".join(own), int(k % 4 == 0)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in data], "doc_id long, quality int, toxic int")
+    model, odds, ratio = toxicity.train(docs, labels)
+    teach = [(set(t.split()), y) for k, t, y in data if zlib.crc32(str(k).encode()) % 5]
+    seen, toxic = Counter(), Counter()
+    for own, y in teach:
+        for f in {f for w in own for f in toxicity.features(w)}:
+            seen[f] += 1
+            toxic[f] += y
+    base = sum(y for _, y in teach) / len(teach)
+    prior = toxicity.MARKS_EXPECTED / len(seen)
+    want = {}
+    for f, n in seen.items():
+        right = toxicity.MARK_PRECISION
+        o = math.log(prior / (1 - prior)) + toxic[f] * math.log(right / base) + (n - toxic[f]) * math.log((1 - right) / (1 - base))
+        if o > 0 and toxic[f] >= toxicity.LEAST_PRECISION * n:
+            want[f] = min(o, 12.0)
+    assert odds == pytest.approx(want) and {"grobian", "flegel"} <= set(odds)
+    cells = defaultdict(lambda: [0, 0])
+    for f in seen:
+        if not f.endswith("~"):
+            cells[toxicity.bucket(f)][0] += seen[f]
+            cells[toxicity.bucket(f)][1] += toxic[f]
+    for k, (n, n1) in cells.items():
+        share = (n1 + toxicity.BUCKET_PRIOR * base) / (n + toxicity.BUCKET_PRIOR)
+        assert ratio[k] == pytest.approx(math.log(share / base) - math.log((1 - share) / (1 - base)))
+    assert np.count_nonzero(ratio) <= len(cells)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for k, t, y in data:
+        strengths = sorted((max(odds.get(f, -1) for f in toxicity.features(w)) for w in set(t.split())), reverse=True)
+        strengths = [x for x in strengths if x > 0]
+        mean = np.mean([ratio[toxicity.bucket(w)] for w in set(t.split())])
+        x = strengths[0] + toxicity.MORE * sum(strengths[1:]) if strengths else min(max(toxicity.NO_MARK + toxicity.GRADE * mean, toxicity.LOWEST), toxicity.HIGHEST)
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-x))) and got[k].predicted == y
+
+
+def test_long_spans_take_time_in_proportion(learned):
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        learned.text(text)
+        return time.perf_counter() - began
+
+    for unit in ("a1", "q ", "7 "):
+        assert took(unit * 64_000) < 12 * took(unit * 8_000) + 1
+    assert took("a" + "!" * 300_000 + "b") < 5
