@@ -54,6 +54,8 @@ HOLD = 2_000_000
 MAX_MAPS = 30_000
 #: Bytes of text for each cell, so that a cell's triples fit a worker.
 CELL_BYTES = 24 << 20
+#: Reduce tasks at most; cells are dealt to them in turn.
+MAX_PARTS = 20_000
 #: Texts are scored so many tokens at a time.
 SCORE_TOKENS = 500_000
 #: Rows of the sample that shows frequent words, and their least share in it.
@@ -581,9 +583,9 @@ def train(texts: DataFrame) -> Model:
     folder = local_path(new_folder(spark, "lm"))
     os.makedirs(folder)
     triples = own.mapInArrow(_triples(where), "cell int, block binary")
-    triples = triples.repartition("cell").sortWithinPartitions("cell")
+    triples = triples.repartitionById(min(cells, MAX_PARTS), F.col("cell")).sortWithinPartitions("cell")
     sums = triples.mapInArrow(_cells(folder, where), "slot int, block binary")
-    sums = sums.repartition("slot").sortWithinPartitions("slot")
+    sums = sums.repartitionById(min(cells, MAX_PARTS), F.pmod("slot", F.lit(min(cells, MAX_PARTS)))).sortWithinPartitions("slot")
     rows = sums.mapInArrow(_sums(folder), "triples array<long>, pairs array<long>, words array<long>, distinct long, tokens long, kinds long").collect()  # one for each task
     spec = {k: sum(r[k] for r in rows) for k in ("distinct", "tokens", "kinds")}
     seen = {k: [sum(r[k][i] for r in rows) for i in range(4)] for k in ("triples", "pairs", "words")}
