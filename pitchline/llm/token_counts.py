@@ -254,18 +254,36 @@ class PrefixCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        out: list[int] = []
+        return [n for n, _ in self.counts_and_cuts(texts, None)]
+
+    def counts_and_cuts(self, texts: list[str], limit: int | None) -> list[tuple[int, int]]:
+        """Tokens of each text, and the characters of its longest prefix of at most
+        ``limit`` tokens (all, without one), from the counts of words and their prefixes."""
+        out: list[tuple[int, int]] = []
         k = 0
         while k < len(texts):
-            parts, size = [], 0
-            while k + len(parts) < len(texts) and size < CHUNK_CHARS:
-                size += len(texts[k + len(parts)])
-                parts.append(self.words(texts[k + len(parts)]))
+            parts, size, begin = [], 0, k
+            while k < len(texts) and size < CHUNK_CHARS:
+                size += len(texts[k])
+                parts.append(self.words(texts[k]))
+                k += 1
             self.learn(set().union(*parts))
-            out += [sum(map(self.totals.__getitem__, p)) for p in parts]
-            k += len(parts)
+            for text, p in zip(texts[begin:k], parts):
+                own = list(map(self.totals.__getitem__, p))
+                n = sum(own)
+                out.append((n, len(text) if limit is None or n <= limit else self.cut(p, own, limit)))
         return out
 
+    def cut(self, words: list[str], totals: list[int], limit: int) -> int:
+        """Characters of the longest prefix within the limit. A prefix that ends in a word
+        counts all words before it, and at least one more; so the last word that begins
+        below the limit holds it, or the end of the word before."""
+        before = np.cumsum([0, *totals])
+        last = max(0, int(np.searchsorted(before[:-1], limit, "left")) - 1)
+        inside = self.prefixes(words[last])
+        most = max((i for i, c in enumerate(inside) if before[last] + c <= limit), default=0)
+        return max(0, sum(map(len, words[:last])) + most - 1)  # less the mark before the text
+
     def at_prefixes(self, text: str) -> list[int]:
         """Counts of text[:0] ... text[:len(text)]."""
         out, base = [], 0
@@ -285,16 +303,19 @@ def counter(model_path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for each row of ``docs``
+    (doc_id, text); limit_chars is the length in characters of the text's longest prefix
+    of at most ``limit`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model_path).counts
+        count = counter(model_path).counts_and_cuts
         for b in batches:
-            n = count([t.as_py() or "" for t in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            found = count([t.as_py() or "" for t in b.column(1)], limit)
+            n, cuts = ([x[k] for x in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cuts, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
     own = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_token_counts(docs: DataFrame, model_path: str) -> DataFrame:
