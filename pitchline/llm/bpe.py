@@ -5,7 +5,9 @@ adjacent pair inside a word, finds the pairs' ranks by binary search over the
 sorted keys of the merge list, takes each word's lowest rank and merges all its
 places from left to right, in every word at once; words without a pair leave.
 A merge's parts always come before it in the list, so merging all places of the
-lowest pair in one round gives what merging one place at a time gives.
+lowest pair in one round gives what merging one place at a time gives. A word of more
+than ``LONG`` bytes is merged by itself from a heap: its many rounds would read all
+symbols each time.
 
 Texts are split as the vocabulary's own file says (special strings first, then
 NFC, lower case, the split pattern). Distinct words are encoded once a worker and
@@ -23,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import CACHE_WORDS, table
 
 CHUNK_CHARS = 1_000_000
+#: Bytes of a word from which on its merges come from a heap, not in rounds.
+LONG = 200
 
 
 def byte_letters() -> list[str]:
@@ -69,6 +74,7 @@ class WordBpe:
         self.inner = np.array([self.vocab[c] for c in letters], np.int64)
         self.final = np.array([self.vocab[c + self.end] for c in letters], np.int64)
         self.cache: dict[str, tuple[str, str, int]] = {}
+        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of each word's ids."""
@@ -115,6 +121,30 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one long word: merges by rank from a heap over linked symbols, so in
+        time n log n where rounds over all symbols would take n squared."""
+        if self.pairs is None:
+            self.pairs = {k: (r, int(self.results[r])) for k, r in zip(self.keys.tolist(), self.ranks.tolist())}
+        ids = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.final[word[-1]])]
+        n, size, pairs = len(ids), self.size, self.pairs
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(pairs[k][0], i, k) for i in range(n - 1) if (k := ids[i] * size + ids[i + 1]) in pairs]
+        heapify(heap)
+        while heap:
+            _, i, k = heappop(heap)
+            j = after[i]
+            if j < 0 or ids[i] < 0 or ids[i] * size + ids[j] != k:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = pairs[k][1], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (k := ids[x] * size + ids[y]) in pairs:
+                    heappush(heap, (pairs[k][0], x, k))
+        return [i for i in ids if i >= 0]
+
     def learn(self, words: set[str]) -> None:
         """Encode the new ones among these words."""
         if len(self.cache) > CACHE_WORDS:
@@ -122,13 +152,20 @@ class WordBpe:
         new = [w for w in words if w not in self.cache]
         if not new:
             return
-        ids, size = self.merge_words([w.encode("utf-8", "replace") for w in new])
-        ids, at, surface = ids.tolist(), 0, self.surface
+        raw = {w: w.encode("utf-8", "replace") for w in new}
+        for w in [w for w in new if len(raw[w]) > LONG]:
+            self.remember(w, self.merge_long(raw[w]))
+        new = [w for w in new if len(raw[w]) <= LONG]
+        ids, size = self.merge_words([raw[w] for w in new])
+        ids, at = ids.tolist(), 0
         for w, n in zip(new, size.tolist()):
-            own = ids[at : at + n]
-            self.cache[w] = (" ".join(map(str, own)), " ".join([surface[i] for i in own]), n)
+            self.remember(w, ids[at : at + n])
             at += n
 
+    def remember(self, word: str, ids: list[int]) -> None:
+        surface = self.surface
+        self.cache[word] = (" ".join(map(str, ids)), " ".join([surface[i] for i in ids]), len(ids))
+
     def words(self, text: str) -> list[str]:
         """Words as they go into the merges; special strings stand as they are."""
         parts = self.special_at.split(text) if self.special_at and any(s in text for s in self.special) else [text]
