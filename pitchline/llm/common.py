@@ -36,6 +36,36 @@ def local_path(path: str) -> str:
     return path
 
 
+# -- joins with tables of unknown size --------------------------------------------
+
+#: Rows of a narrow table (ids and hashes) that may be broadcast: some 12 MB.
+BROADCAST_ROWS = 250_000
+SALTS = 16
+
+
+def whole_rows(df: DataFrame, *keys) -> DataFrame:
+    """The rows of ``df`` as one struct ``row`` beside ``keys``: no name of a helper
+    column can clash with the caller's."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *keys)
+
+
+def joined(rows: DataFrame, small: DataFrame, keys: list[str], how: str, salt=None) -> DataFrame:
+    """``rows`` with the columns of ``small`` (staged, unique by ``keys``, equal nulls
+    match): by broadcast if its size allows it, else by a shuffle in which rows of one
+    key are spread by ``salt`` (a hash of the row)."""
+    other = small.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(c for c in small.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    if small.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(other), same, how)
+    else:
+        salt = F.lit(0) if salt is None else F.pmod(salt, F.lit(SALTS))
+        other = other.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("_salt", salt.cast("int")).join(other, same & (F.col("_salt") == F.col("_of_salt")), how).drop("_salt", "_of_salt")
+    return out.drop(*(f"_of_{k}" for k in keys))
+
+
 # -- words -------------------------------------------------------------------
 
 

@@ -8,14 +8,15 @@ the blank lines that end a record as its separator, so archives go to any store
 Spark writes to, and a lost task leaves nothing behind.
 
 Reading: archives come as binary files and are decoded as a stream, records cut by their
-Content-Length. Assembly: records are brought together by the id of their response
+Content-Length. A file is one gzip stream, which readers decode from its beginning: Spark's
+writer can't begin a new member for each record. Assembly: records are brought together by the id of their response
 (its own, or the one they are concurrent to) and make one nested row per capture; of
 several requests or metadata records for a response the one of least record id stands,
 with their number. Revisits find the response they refer to by its record id.
 
 Defined cases: a null page counts as an empty payload; null urls are kept as null; a
-null page id sorts below all others; of rows that repeat with the largest id exactly
-one is the response; empty tables give empty archives and results.
+null page id sorts below all others; of rows with the largest id the one with the
+largest url, and of rows that agree in that too exactly one, is the response; empty tables give empty archives and results.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import joined, new_folder, staged, table
 
 REVISIT_BYTES = 1000
 PAGES_PER_FILE = 50_000
+#: Bytes of payload that a file holds on average; a reader takes a file at once.
+FILE_BYTES = 64 << 20
 CRLF = "\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,35 +68,57 @@ def _record(kind: Column | str, record_id: Column, uri: Column, headers: list[Co
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write a transaction for each row of ``pages`` (page_id, url, html)."""
+    """Write a transaction for each row of ``pages`` (page_id, url, html). Payloads stay
+    where they are: the digests that come more than once go to them, by broadcast where
+    their number allows it, else by a join in which rows of one digest are spread."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha1(html.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    order = F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "row")
-    tops = rows.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max(order).alias("top"), F.count("*").alias("k")).where("k > 1").select("digest", "top")
-    rows = rows.join(tops, "digest", "left")
-    revisit = (F.col("n") >= revisit_bytes) & F.col("top").isNotNull() & (F.col("top.row") != F.col("row"))
-    rows = rows.withColumn("revisit", F.coalesce(revisit, F.lit(False)))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    own, nothing = _urn(F.lit("response"), text("page_id"), text("row")), F.lit("")
-    uri = F.when(F.col("url").isNull(), F.concat(F.lit("urn:page:"), text("page_id"))).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]", "+"))
+    sizes = pages.select("page_id", "url", F.octet_length(html).cast("long").alias("n"), F.sha1(html.cast("binary")).alias("digest"))
+    # by digest, id and url first: a payload that a third of all pages share is combined early
+    same = sizes.groupBy("digest", "page_id", "url").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    total = same.agg(F.sum(F.col("n") * F.col("rows")).alias("bytes"), F.sum("rows").alias("rows"))
+    order = F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", F.col("url").isNotNull().alias("has_url"), "url")
+    tops = same.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max(F.struct(order.alias("key"), "rows")).alias("top"), F.sum("rows").alias("k")).where("k > 1")
+    tops = staged(tops.select("digest", F.col("top.key.page_id").alias("top_id"), F.col("top.key.url").alias("top_url"), F.col("top.rows").alias("ties")), "warc-tops")
+    total = total.first()  # two numbers
+    per_file = max(1, min(PAGES_PER_FILE, int(FILE_BYTES // max(1, (total["bytes"] or 0) // max(1, total["rows"] or 0)))))
+
+    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = joined(rows, tops, ["digest"], "left", F.xxhash64("page_id", "url"))
+    at_top = F.col("ties").isNotNull() & F.col("page_id").eqNullSafe(F.col("top_id")) & F.col("url").eqNullSafe(F.col("top_url"))
+    # rows' ids are of this evaluation: unique, and nothing refers to them
+    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    plain = rows.where(~(at_top & (F.col("ties") > 1))).withColumn("revisit", F.col("ties").isNotNull() & ~at_top).withColumn("key", F.when(at_top, "top").otherwise(own))
+    out = plain.select("page_id", "url", "html", "n", "digest", "revisit", "key")
+    if not tops.where("ties > 1").isEmpty():  # rows alike in id, url and payload: one of them is the response
+        alike = rows.where(at_top & (F.col("ties") > 1)).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "html", "n", "ties")))
+        alike = alike.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("ties").cast("int"))))
+        key = F.when(F.col("k") == 1, "top").otherwise(F.concat(F.lit("copy "), F.col("k").cast("string")))
+        out = out.unionByName(alike.select("page_id", "url", "html", "n", "digest", (F.col("k") > 1).alias("revisit"), key.alias("key")))
+    out.select(_transaction().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+
+
+def _transaction() -> Column:
+    """The three records of a row (page_id, url, html, n, digest, revisit, key)."""
+    own, nothing = _urn(F.lit("response"), F.col("digest"), F.col("key")), F.lit("")
+    page = F.coalesce(F.col("page_id").cast("string"), nothing)
+    uri = F.when(F.col("url").isNull(), F.concat(F.lit("urn:page:"), F.url_encode(page))).otherwise(F.regexp_replace("url", r"[\x00-\x20\x7F]", "+"))
     host = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     concurrent = F.concat(F.lit("\r\nWARC-Concurrent-To: "), own)
     digest = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"))
-    refers = F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _urn(F.lit("response"), F.coalesce(F.col("top.page_id").cast("string"), F.lit("")), F.coalesce(F.col("top.row").cast("string"), F.lit(""))))).otherwise(nothing)
+    refers = F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _urn(F.lit("response"), F.col("digest"), F.lit("top")))).otherwise(nothing)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END), F.when(F.col("revisit"), nothing).otherwise(F.col("html")))
     request = F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
     fields = F.concat(
-        F.when(F.col("page_id").isNotNull(), F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(CRLF))).otherwise(nothing),
+        F.when(F.col("page_id").isNotNull(), F.concat(F.lit("pageId: "), F.url_encode(page), F.lit(CRLF))).otherwise(nothing),
         F.when(F.col("url").isNotNull(), F.concat(F.lit("pageUrl: "), F.url_encode("url"), F.lit(CRLF))).otherwise(nothing),
         F.lit("payloadBytes: "), F.col("n").cast("string"), F.lit(CRLF),
     )
-    value = F.concat(
-        _record("request", _urn(F.lit("request"), text("page_id"), text("row")), uri, [concurrent], "application/http; msgtype=request", request),
+    return F.concat(
+        _record("request", _urn(F.lit("request"), F.col("digest"), F.col("key")), uri, [concurrent], "application/http; msgtype=request", request),
         _record(F.when(F.col("revisit"), "revisit").otherwise("response"), own, uri, [digest, refers], "application/http; msgtype=response", http),
-        _record("metadata", _urn(F.lit("metadata"), text("page_id"), text("row")), uri, [concurrent], "application/warc-fields", fields, with_block_end=False),
+        _record("metadata", _urn(F.lit("metadata"), F.col("digest"), F.col("key")), uri, [concurrent], "application/warc-fields", fields, with_block_end=False),
     )
-    rows.select(value.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(folder)
 
 
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload_sha1 string, fields map<string,string>"
@@ -184,15 +209,18 @@ def archive_and_read(pages: DataFrame, page_id_type: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     write_archives(pages, folder)
     rows = captures(read_records(spark, folder)).select(
-        "capture_id", F.col("metadata.fields")["pageId"].cast(page_id_type).alias("page_id"), F.col("response.type").alias("record_type"),
+        "capture_id", F.url_decode(F.col("metadata.fields")["pageId"]).cast(page_id_type).alias("page_id"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("to"), F.col("response.payload_digest").alias("declared"), F.col("response.payload_sha1").alias("own"),
         F.when(F.col("response.type") == "revisit", F.col("metadata.fields")["payloadBytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
     )
-    targets = rows.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
+    rows = staged(rows, "warc-captures")  # the archives are read once
+    wanted = rows.where("record_type = 'revisit'").select(F.col("to").alias("capture_id")).distinct()  # one for each payload that is revisited
+    targets = rows.where("record_type = 'response'").join(wanted, "capture_id", "left_semi").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
     # a response refers to nothing: a key of its own, or all of them would meet in one task
     rows = rows.withColumn("to", F.coalesce("to", F.concat(F.lit("-"), F.col("capture_id"))))
     digest = F.when(F.col("record_type") == "revisit", F.col("declared")).otherwise(F.col("own"))
-    return rows.join(targets, "to", "left").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    out = joined(rows, staged(targets, "warc-targets"), ["to"], "left", F.xxhash64("capture_id"))
+    return out.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def page_url(capture_url: str | None) -> str | None:
