@@ -45,6 +45,7 @@ CHUNK = 2048
 
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of very large or small numbers would not fit
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 

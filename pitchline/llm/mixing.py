@@ -11,7 +11,8 @@ that it overlaps.
 
 All of it is DataFrame operations on a narrow staged table: positions in streams and
 ranks of slots are two-level prefix sums, so no task holds a source; points meet
-sources by an equi-join on cells of the unit interval.
+sources by an equi-join on cells of the unit interval. Points have 32 bits: after 2^32
+slots they come again, as evenly as before.
 
 Defined cases: a null text has no words; null sources are one source, the last; null
 ids are kept; documents without words take 0; rows that repeat are separate rows;
@@ -24,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums, staged, table
+from .common import WORD, joined, prefix_sums, staged, table, whole_rows
 
 MAX_REPEATS = 3
-MAX_BLOCK = 256
-MIN_BLOCKS = 1 << 16
+#: Words of a slot.
+BLOCK = 256
+BLANKS = r"[\x20\x09-\x0D]*"
 CELLS = 1 << 12
 CHUNK = 512
 PART_ROWS = 128
@@ -83,7 +85,7 @@ def streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     all_rows = F.sum("n_docs").over(Window.partitionBy())
     per_part = F.greatest(F.lit(PART_ROWS), F.ceil(all_rows / F.lit(MAX_PARTS)))
     parts_of = targets.select("skey", F.ceil(F.col("n_docs") / per_part).cast("long").alias("parts"))
-    rows = sizes.join(parts_of, "skey").withColumn("part", F.pmod("order", "parts")).drop("parts")
+    rows = sizes.join(F.broadcast(parts_of), "skey").withColumn("part", F.pmod("order", "parts")).drop("parts")
     parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).withColumn("coarse", F.expr("part div 1024"))
     parts = prefix_sums(parts, ["skey"], "coarse", "part", ["words", "docs"]).select("skey", "part", "before_words", "before_docs")
     inside = Window.partitionBy("skey", "part").orderBy("order", "doc_id", "size", "h")
@@ -95,15 +97,18 @@ def streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, h) for each row of ``docs`` (doc_id,
-    text, source); h is a hash of the text."""
+    """(doc_id, size, source_size, target, taken, h, slot) for each row of ``docs``
+    (doc_id, text, source); h is a hash of the text, slot the first one of the schedule
+    that takes of the document: the order of the mix. Null if none does, or only the
+    rest that round-off leaves to a source. Sources are few (a name each), so tables of
+    them are broadcast."""
     spark = docs.sparkSession
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sizes = docs.select("doc_id", "source", skey.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"))
     sizes = staged(sizes.withColumn("order", F.xxhash64("doc_id", "h", F.lit(seed))), "mix-sizes")
     targets = staged(source_targets(sizes), "mix-targets")
     total = (targets.agg(F.max("total")).first()[0]) or 0  # one number
-    block = max(1, min(MAX_BLOCK, total // MIN_BLOCKS))
+    block = BLOCK
     # a source's slots: whole epochs of ceil(size / block) blocks, then some blocks, the last cut
     per_epoch = F.expr(f"(source_size + {block - 1}) div {block}")
     plan = targets.where("words > 0").select(
@@ -114,34 +119,41 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     slots = schedule(spark, targets, -(-total // block))
     have = slots.groupBy("skey").agg(F.count("*").alias("n"))
     missing = plan.join(have, "skey", "left").where("coalesce(n, 0) < quota").select("skey", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("quota") - 1)).alias("rank"))
-    taken = slots.select("skey", "rank").unionByName(missing).join(plan, "skey").where("rank < quota")
+    ranked = slots.select("skey", "rank", "slot").unionByName(missing.withColumn("slot", F.lit(None).cast("long")))
+    taken = ranked.join(F.broadcast(plan), "skey").where("rank < quota")  # a row for each source
     in_epoch = F.expr("rank % per_epoch")
     cut = F.when(F.expr("rank div per_epoch") == F.col("epochs"), F.least(F.lit(block), F.col("rest") - in_epoch * block)).otherwise(F.lit(block))
     # whole takes, and the words of a last, cut take
-    takes = taken.select("skey", in_epoch.alias("block"), cut.alias("words")).groupBy("skey", "block").agg(F.count_if(F.col("words") == block).alias("whole"), F.coalesce(F.sum(F.when(F.col("words") < block, F.col("words"))), F.lit(0)).alias("part"))
+    takes = taken.select("skey", "slot", in_epoch.alias("block"), cut.alias("words")).groupBy("skey", "block").agg(F.min("slot").alias("slot"), F.count_if(F.col("words") == block).alias("whole"), F.coalesce(F.sum(F.when(F.col("words") < block, F.col("words"))), F.lit(0)).alias("part"))
     pieces = streams(sizes.drop("source"), targets).select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))).alias("block"))
     begin = F.col("block") * block
     overlap = F.least(F.col("start") + F.col("size"), begin + block) - F.greatest("start", begin)
     cut_overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), begin + F.col("part")) - F.greatest("start", begin))
     words = F.coalesce(F.col("whole") * overlap + cut_overlap, F.lit(0))
-    per_doc = pieces.join(takes, ["skey", "block"], "left").groupBy("skey", "seq").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("h").alias("h"), F.sum(words).alias("taken"))
-    return per_doc.join(targets.select("skey", "source_size", "target"), "skey").select("doc_id", "size", "source_size", "target", "taken", "h")
+    per_doc = pieces.join(takes, ["skey", "block"], "left").groupBy("skey", "seq").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("h").alias("h"), F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("slot"))).alias("slot"))
+    return per_doc.join(F.broadcast(targets.select("skey", "source_size", "target")), "skey").select("doc_id", "size", "source_size", "target", "taken", "h", "slot")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a document comes once for each
-    time that all its words are taken, and once more with its first words if some are
-    taken once more (at most one document of a source); others go."""
-    takes = mix(docs, seed).where("taken > 0").groupBy("doc_id", "h").agg(F.min("size").alias("_size"), F.expr("sum(taken) div count(*)").alias("_taken"))
-    takes = takes.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_size", "_taken")
-    both = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
-    copies = F.sequence(F.lit(1), F.expr("_taken div _size + if(_taken % _size > 0, 1, 0)"))
-    rows = both.select("*", F.explode(copies).alias("_copy"))
-    is_cut = F.col("_copy") * F.col("_size") > F.col("_taken")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.expr("int(_taken % _size)")), " ")
-    text = F.when(is_cut, head).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    time that all its words are taken, and once more with its first words (and the
+    blanks before them) if some are taken once more, at most one document of a source;
+    others go. Of rows that agree in id and text one stands for all, with the words that
+    the mix takes of them together."""
+    takes = mix(docs, seed).groupBy("doc_id", "h").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n")).where("taken > 0")
+    takes = staged(takes.select(F.col("doc_id").alias("id"), "h", "size", "taken", "n"), "mix-takes")
+    rows = whole_rows(docs, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    both = joined(rows, takes, ["id", "h"], "inner")
+    out = both.where("n = 1").select("row", "size", "taken")
+    if not takes.where("n > 1").isEmpty():
+        again = both.where("n > 1").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("size").alias("size"), F.first("taken").alias("taken"))
+        out = out.unionByName(again.select("row", "size", "taken"))
+    copies = out.select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.expr("taken div size + if(taken % size > 0, 1, 0)"))).alias("copy"))
+    words = F.regexp_extract_all("row.text", F.lit(f"({BLANKS}{WORD})"))
+    head = F.array_join(F.slice(words, F.lit(1), F.expr("int(taken % size)")), "")
+    text = F.when(F.col("copy") * F.col("size") > F.col("taken"), head).otherwise(F.col("row.text"))
+    return copies.withColumn("row", F.col("row").withField("text", text)).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slot")

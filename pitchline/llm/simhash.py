@@ -25,11 +25,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Forest, in_blocks, starts, whole_groups
-from .common import staged, table, texts_of
+from .common import joined, staged, table, texts_of, whole_rows
 from .components import components
 
 SHINGLE = 3
@@ -142,12 +142,19 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id
-    (of rows that agree in id and text, one). ``groups`` if not those by fingerprint."""
+    (of rows that agree in id and text, one). ``groups`` if not those by fingerprint.
+    Texts stay where they are: ids of rows that go, and of rows that repeat, go to them."""
     groups = simhash_groups(docs) if groups is None else groups
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    both = docs.withColumn("_text_h", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")))
-    one = Window.partitionBy("doc_id", "_text_h").orderBy("_text_h")
-    return both.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)
+    keys = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.first("component_id").alias("c"), F.first("first_h").alias("f"))
+    kept = F.col("doc_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("f"))
+    marks = staged(keys.select(F.col("doc_id").alias("id"), "h", "n", kept.alias("kept")).where("NOT kept OR n > 1").select("id", "h", "kept"), "not-as-they-are")
+    rows = whole_rows(docs, F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    both = joined(rows, marks, ["id", "h"], "left")
+    out = both.where("kept IS NULL").select("row")
+    if not marks.where("kept").isEmpty():
+        again = both.where("kept").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))  # combined before the shuffle
+        out = out.unionByName(again.select("row"))
+    return out.select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Mixing, WARC, sharding, near-duplicates and the pipeline."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -78,12 +79,67 @@ def test_mixed_documents_hold_the_taken_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
+    text = {r.doc_id: r.text for r in docs.collect()}
     words = Counter()
     for r in out.collect():
         words[r.doc_id] += len(r.text.encode().split())
+        assert text[r.doc_id].startswith(r.text)  # blanks and all
     assert words == Counter({r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken})
 
 
+def test_mixed_documents_of_repeated_rows_and_clashing_names(spark, edge_docs, no_docs, monkeypatch):
+    names = ["row", "id", "h", "size", "taken", "n", "copy", "kept", "_h", "_id", "_salt", "slot", "ties"]
+    docs = edge_docs.drop("size", "h", "n_tokens").withColumns({c: F.lit(5) for c in names})
+    for limit in (10**6, -1):  # by broadcast and by shuffle
+        monkeypatch.setattr("pitchline.llm.common.BROADCAST_ROWS", limit)
+        want, words = Counter(), Counter()
+        for r in mixing.mix(docs).collect():
+            want[r.doc_id] += r.taken
+        out = mixing.mixed_documents(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            words[r.doc_id] += len(r.text.encode().split())
+        assert words == Counter({k: n for k, n in want.items() if n})
+        same = spark.createDataFrame([(1, "a b  c\n d", "x")] * 3 + [(2, "e " * 100, "x"), (3, "f " * 11, "y")], "doc_id long, text string, source string")
+        taken = sum(r.taken for r in mixing.mix(same).collect())
+        assert sum(len(r.text.split()) for r in mixing.mixed_documents(same).collect()) == taken
+        kept = simhash.one_of_each_group(docs)
+        assert kept.columns == docs.columns and kept.count() == len({r.component_id for r in simhash.simhash_groups(docs).collect()})
+    assert mixing.mixed_documents(no_docs).count() == 0
+
+
+def brute_taken(spark, docs):
+    """{(id, text hash): words} of the same schedule, slot by slot in Python."""
+    sizes = [(r.doc_id, r.source, len((r.text or "").encode().split()), r.h, r.o) for r in docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(7)).alias("o")).collect()]
+    total = Counter()
+    for _, s, n, _, _ in sizes:
+        total[s] += n
+    targets = {s: int(math.floor(t + 0.5)) for s, t in brute_targets(dict(total)).items()}
+    block, taken = mixing.BLOCK, Counter()
+    for s, words in targets.items():
+        own = [x for x in sizes if x[1] == s]
+        parts = max(1, -(-len(own) // mixing.PART_ROWS))
+        own.sort(key=lambda x: (x[4] % parts, x[4], x[0], x[2], x[3]))
+        flat = [(x[0], x[3]) for x in own for _ in range(x[2])]
+        for _ in range(words // len(flat) if flat else 0):
+            taken.update(flat)
+        rest = words % len(flat) if flat else 0
+        taken.update(flat[:rest])
+    assert block > 0
+    return taken
+
+
+def test_taken_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = Counter()
+    slots = []
+    for r in mixing.mix(docs).collect():
+        got[r.doc_id, r.h] += r.taken
+        slots += [r.slot] if r.slot is not None else []
+    assert Counter({k: n for k, n in got.items() if n}) == brute_taken(spark, docs)
+    assert len(set(slots)) > len(slots) // 4
+
+
 def test_schedule_is_even(spark):
     t = spark.createDataFrame([("a", 500), ("b", 300), ("c", 200)], "skey string, words long")
     rows = mixing.schedule(spark, t, 1000).collect()
@@ -125,6 +181,19 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(df.limit(0), "bigint").count() == 0
 
 
+def test_warc_ties_text_ids_and_hot_payloads(spark, monkeypatch):
+    """Rows alike in everything, ids with blanks and line ends, one payload in many rows."""
+    big, rows = "é" * 700, []
+    rows += [(" a\r\n", "u", big)] * 3 + [("b ", f"v{k}", big) for k in range(40)] + [(None, "w", big), ("c", None, "x" * 999), ("c", None, "x" * 999), ("d", "", "y" * 1000)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for limit in (10**6, -1):
+        monkeypatch.setattr("pitchline.llm.common.BROADCAST_ROWS", limit)
+        for frame in (df, df.repartition(5)):
+            out = warc.archive_and_read(frame, "string").collect()
+            assert Counter(r.page_id for r in out) == Counter(r[0] for r in rows)
+            assert Counter((r.record_type, r.refers_to) for r in out) == {("response", None): 4, ("revisit", "b "): 43}
+
+
 # sharding
 
 
@@ -280,3 +349,14 @@ def test_pipeline(spark, sf_dir):
         seen = docs.count()
     want = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
     assert Counter(r.doc_id for r in pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_pipeline_stages_on_edge_cases(spark, sf_dir, edge_docs, no_docs):
+    import corpus_pipeline as pipeline
+
+    for name, stage in pipeline.STAGES:
+        for docs in (edge_docs, no_docs):
+            out = stage(spark, docs, sf_dir)
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+            assert out.count() <= 3 * docs.count() + 9, name

@@ -53,6 +53,17 @@ def test_every_prefix_count(spark):
     assert cut[2] == 0 and len(m.encode("the quick brown fox"[: cut[1]])) <= 2 < len(m.encode("the quick brown fox"[: cut[1] + 1]))
 
 
+def test_longest_prefix_within_the_limit(spark):
+    m, c = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.counter(PIECES)
+    rng = random.Random(7)
+    parts = ["the ", "  ", "ing", "\n", "▁", "é", "日", "12", "idiot", "\x00", "aaa", "<s>", " ", "x"]
+    for _ in range(80):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        for limit in (0, 1, 3, 6):
+            want = max(k for k in range(len(t) + 1) if len(m.encode(t[:k])) <= limit)
+            assert c.counts_and_cuts([t], limit) == [(len(m.encode(t)), want)], (t, limit)
+
+
 def test_token_count_edges(spark, edge_docs, no_docs):
     m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = token_counts.token_counts(edge_docs, PIECES).collect()
@@ -91,6 +102,18 @@ def test_merge_rounds_on_random_words(library):
         assert e.decode(e.encode(t)) == library.decode(e.encode(t), skip_special_tokens=False)
 
 
+def test_long_words_equal_the_library_in_time(library):
+    import time
+
+    e, rng = bpe.encoder(WORDS), random.Random(6)
+    for t in ("a" * 3000, "ab" * 2000, "".join(rng.choice("abcdefgh") for _ in range(20_000)), "hello" * 500 + " x " + "é日" * 400):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert e.encode(t) == ids and e.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    began = time.perf_counter()
+    e.encode("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400_000)))
+    assert time.perf_counter() - began < 20
+
+
 # language model
 
 
