@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import CACHE_WORDS, table
+from .common import CACHE_WORDS, table, tidied
 
 CHUNK_CHARS = 1_000_000
 #: Bytes of a word from which on its merges come from a heap, not in rounds.
@@ -234,10 +234,11 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.cache.clear()
 
     own = docs.select("doc_id", "text")
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return own.mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return own.mapInArrow(tidied(run), schema + (", ids array<int>, decoded string" if with_ids else ""))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ from ..staging import new_folder, release, remove, shared_dir, staged  # noqa: F
 #: Java regex of a word: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries a worker's word cache may hold before it starts anew (about 60 MB).
-CACHE_WORDS = 300_000
+#: Entries a worker's word cache may hold before it starts anew (about 40 MB).
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,26 @@ def local_path(path: str) -> str:
     return path
 
 
+# -- workers ----------------------------------------------------------------------
+
+
+def tidied(run):
+    """``run`` for mapInArrow, giving unused memory back when a task ends: workers are
+    used again by later stages, and would else keep the most that any of them took."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 # -- joins with tables of unknown size --------------------------------------------
 
 #: Rows of a narrow table (ids and hashes) that may be broadcast: some 12 MB.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Forest, in_blocks, starts, whole_groups
-from .common import staged, table
+from .common import staged, table, tidied
 from .components import components
 
 COSINE = 0.95
@@ -150,10 +150,10 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         by_dim.setdefault(len(x), []).append(x)
     pivots = {d: spread(np.array(x, np.float64), wanted) for d, x in by_dim.items()}
     v_type = classes.schema["v"].dataType.simpleString()
-    described = classes.select("cls", "copies", "v").mapInArrow(_describe(pivots), f"cls long, copies long, v {v_type}, near array<int>")
+    described = classes.select("cls", "copies", "v").mapInArrow(tidied(_describe(pivots)), f"cls long, copies long, v {v_type}, near array<int>")
     pairs = F.flatten(F.transform(F.array_sort("near"), lambda p: F.transform(F.filter("near", lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))
     index = described.select("cls", "copies", "v", "near", F.size("v").alias("dim"), F.explode(pairs).alias("x")).select("cls", "copies", "v", "near", "dim", "x.p", "x.q")
-    found = staged(in_blocks(index, ["dim", "p", "q"], "cls", CHUNK).mapInArrow(_linked(threshold), "a long, links long, b long"), "vector-links")
+    found = staged(in_blocks(index, ["dim", "p", "q"], "cls", CHUNK).mapInArrow(tidied(_linked(threshold)), "a long, links long, b long"), "vector-links")
     sums = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     comps = components(found.where("a <> b").select("a", "b"))
     of = classes.select("cls", "copies", "least").join(sums.withColumnRenamed("a", "cls"), "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left")

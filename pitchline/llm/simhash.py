@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Forest, in_blocks, starts, whole_groups
-from .common import joined, staged, table, texts_of, whole_rows
+from .common import joined, staged, table, texts_of, tidied, whole_rows
 from .components import components
 
 SHINGLE = 3
@@ -122,14 +122,14 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     masks = [_mask(p) for p in position_sets(width)]
     lists = F.array(*(F.struct(F.lit(k).alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
     index = distinct.select("fp", F.explode(lists).alias("x")).select("fp", "x.positions", "x.key")
-    return in_blocks(index, ["positions", "key"], "fp", CHUNK).mapInArrow(_linked, "a long, b long")
+    return in_blocks(index, ["positions", "key"], "fp", CHUNK).mapInArrow(tidied(_linked), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp, component_id, first_h) for each row of ``docs`` (doc_id, text); h
     is a hash of the text, first_h the least one of the component's rows with its id."""
     own = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = staged(own.mapInArrow(_fingerprints, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, fp long"), "fingerprints")
+    rows = staged(own.mapInArrow(tidied(_fingerprints), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, fp long"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("first")
     distinct = staged(rows.groupBy("fp").agg(first), "distinct")
     found = components(links(distinct.select("fp"), distinct.count()))

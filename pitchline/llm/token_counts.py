@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, table
+from .common import CACHE_WORDS, table, tidied
 
 MARK = "▁"
 LIMIT = 4096
@@ -315,7 +315,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cuts, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
     own = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return own.mapInArrow(tidied(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_token_counts(docs: DataFrame, model_path: str) -> DataFrame:
@@ -329,7 +329,7 @@ def prefix_token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], b.column(0).type), pa.array([at(t.as_py() or "")], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
     own = docs.select("doc_id", "text")
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, counts array<int>")
+    return own.mapInArrow(tidied(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, counts array<int>")
 
 
 def within_budget(counts: DataFrame, budget: int) -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, WordHashes, id_crc_mod5, mixed, paired, release, staged, table, texts_of
+from .common import CACHE_WORDS, WordHashes, id_crc_mod5, mixed, paired, release, staged, table, texts_of, tidied
 
 MAX_LABELLED = 40_000
 #: Of toxic texts that hold a mark, and of marks among the features seen.
@@ -376,13 +376,13 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = MAX_LABELLED) -> tu
     own = docs.select("doc_id", "text")
     if rows:
         ids = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in rows], f"l_id {id_type}, toxic int")
-        signed = own.join(F.broadcast(ids), own.doc_id == ids.l_id).select("doc_id", "text").mapInArrow(_signatures, f"doc_id {id_type}, bands array<long>")
+        signed = own.join(F.broadcast(ids), own.doc_id == ids.l_id).select("doc_id", "text").mapInArrow(tidied(_signatures), f"doc_id {id_type}, bands array<long>")
         held = firsts([(r.doc_id, r.bands) for r in signed.groupBy("doc_id").agg(F.min("bands").alias("bands")).collect()])  # at most MAX_LABELLED rows
         rows = [r for r in rows if r.doc_id in held]
     n1 = sum(r.toxic for r in rows)
     base = min(0.9, max(0.01, n1 / len(rows))) if rows else 0.5
     ids = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in rows], f"l_id {id_type}, toxic int")
-    counted = own.join(F.broadcast(ids), own.doc_id == ids.l_id, "left").select("text", "toxic").mapInArrow(_teach, "feature string, n long, n_toxic long")
+    counted = own.join(F.broadcast(ids), own.doc_id == ids.l_id, "left").select("text", "toxic").mapInArrow(tidied(_teach), "feature string, n long, n_toxic long")
     counted = staged(counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")), "toxic-features")
     is_cell = F.col("feature").startswith("\0")
     cells = np.zeros(CLASSES**3)
@@ -415,7 +415,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     own = docs.select("doc_id", "text")
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return own.mapInArrow(tidied(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.text(t.as_py() or "") < 0 for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
