@@ -96,7 +96,8 @@ _SIGNS = regex.compile(r"[0-9@$!|+€(<£*#.\-_'~]")
 _THRICE = regex.compile(r"(\p{L})\1\1")
 _DOUBLED = regex.compile(r"(\p{L})\1")
 _LETTER = regex.compile(r"\p{L}")
-_EDGE_SIGN = regex.compile(r"^[!|(<£€+*#0-9]|[@$!|+€(<£*#]$")
+#: A sign for a letter at a word's edge: one or two of a kind, but two ! are stress.
+_EDGE_SIGN = regex.compile(r"^(?:!(?!!)|([|(<£€+*#0-9])(?!\1\1))|(?<!!)!$|([@$|+€(<£*#])(?<!\2\2\2)$")
 PLAIN_EDGES = ".,;:?\"'()[]{}-_~`´’“”«»…"
 #: Letters of a span beside which a word of one letter may stand.
 SHORT_SPAN = 64
@@ -214,8 +215,15 @@ def trigrams(text: str) -> np.ndarray:
     return cells[(c[1:-1] != 0) | (c[2:] != 0)]
 
 
+def repeats(word: str) -> bool:
+    """A letter three times in a row, or three letters twice."""
+    return bool(_DOUBLED.search(word)) and bool(_THRICE.search(word) or len(_DOUBLED.findall(word)) >= 3)
+
+
 def disguised(word: str) -> bool:
-    return bool(_LETTER.search(word)) and bool(_SIGNS.search(word) or _THRICE.search(word) or len(_DOUBLED.findall(word)) >= 3)
+    if word.isalpha():
+        return repeats(word)
+    return bool(_LETTER.search(word)) and bool(_SIGNS.search(word) or repeats(word))
 
 
 def bucket(word: str) -> int:
@@ -248,13 +256,14 @@ class Scorer:
 
     def word(self, raw: str) -> tuple[float, float]:
         """(odds of the strongest feature, log ratio) of a word as it stands."""
-        w = core(raw)
+        letters = raw.isalpha()  # then it has no edges and no signs
+        w = raw if letters else core(raw)
         best, reading = self.plain(w), w
         if best < 0 and disguised(w):
             found = self.restored(w).split()
             best = max([best, *map(self.plain, found)])
             reading = found[0] if len(found) == 1 else w
-        if best < 0 and _EDGE_SIGN.search(whole := raw.strip(PLAIN_EDGES)) and _LETTER.search(whole):
+        if best < 0 and not letters and _EDGE_SIGN.search(whole := raw.strip(PLAIN_EDGES)) and _LETTER.search(whole):
             # a sign at the edge may be a letter or not; only whole words count here
             best = max([best, *(self.odds.get(x, NO_MARK) for x in self.restored(whole).split())])
         out = best, self.ratio[bucket(reading)] if reading else 0.0
