@@ -33,6 +33,7 @@ toxic.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -95,6 +96,7 @@ _HEAD, _TAIL = regex.compile(_UNIT), regex.compile(r"[ .\-_*'~,\t\n\r]{1,3}[\p{L
 _SIGNS = regex.compile(r"[0-9@$!|+€(<£*#.\-_'~]")
 _THRICE = regex.compile(r"(\p{L})\1\1")
 _DOUBLED = regex.compile(r"(\p{L})\1")
+_TWICE = re.compile(r"(.)\1", re.DOTALL)
 _LETTER = regex.compile(r"\p{L}")
 #: A sign for a letter at a word's edge: one or two of a kind, but two ! are stress.
 _EDGE_SIGN = regex.compile(r"^(?:!(?!!)|([|(<£€+*#0-9])(?!\1\1))|(?<!!)!$|([@$|+€(<£*#])(?<!\2\2\2)$")
@@ -103,8 +105,30 @@ PLAIN_EDGES = ".,;:?\"'()[]{}-_~`´’“”«»…"
 SHORT_SPAN = 64
 
 
+#: Kinds of characters: 0 others, 1 separators, 2 signs of a unit, 3 what may be a letter, 4 letters and digits.
+_KINDS = np.full(0x110000, 3, np.uint8)
+_KINDS[:0x80] = [1 if chr(c) in SEPARATORS else 2 if chr(c) in "@$!|" else 4 * chr(c).isalnum() for c in range(0x80)]
+_KINDS[0xC0:0x250] = [4 * chr(c).isalpha() for c in range(0xC0, 0x250)]
+
+
+def may_be_spaced(text: str) -> bool:
+    """False only if ``_SPACED`` finds nothing: no letter or sign stands alone before a
+    separator, with another one, a separator on both sides, as near as in one span."""
+    kinds = _KINDS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    ends = np.flatnonzero(kinds[1:] == 1)  # what stands before a separator
+    before = kinds[np.maximum(ends - 1, 0)]
+    first = (kinds[ends] >= 2) & ((before != 4) | (ends == 0))
+    ends, before = ends[first], before[first]
+    return bool(((before[1:] == 1) & (np.diff(ends) <= 4)).any())
+
+
 def core(word: str) -> str:
     """The word from its first letter, digit, @ or $ to its last letter or digit."""
+    if word.isalpha():
+        return word
+    inner = word.strip(PLAIN_EDGES)
+    if inner.isalpha():
+        return inner
     first = _FIRST.search(word)
     last = _LAST.search(word)
     if first is None:
@@ -217,7 +241,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def repeats(word: str) -> bool:
     """A letter three times in a row, or three letters twice."""
-    return bool(_DOUBLED.search(word)) and bool(_THRICE.search(word) or len(_DOUBLED.findall(word)) >= 3)
+    return _TWICE.search(word) is not None and bool(_DOUBLED.search(word)) and bool(_THRICE.search(word) or len(_DOUBLED.findall(word)) >= 3)
 
 
 def disguised(word: str) -> bool:
@@ -231,14 +255,23 @@ def bucket(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42) % BUCKETS
 
 
-class Scorer:
+class Scorer(dict):
     """Scores of texts, from the character model, the marks' odds and the log likelihood
-    ratios of hashed words."""
+    ratios of hashed words. As a mapping: a word as it stands to its log ratio, filled on
+    demand and bounded."""
 
     def __init__(self, model: CharModel, odds: dict[str, float], ratio: np.ndarray | None = None):
+        super().__init__()
         self.model, self.odds = model, odds
         self.ratio = [0.0] * BUCKETS if ratio is None else ratio.tolist()
-        self.words: dict[str, tuple[float, float]] = {}
+        #: First four characters of every mark: other words hold none.
+        self.starts = {f[:4] for f in odds}
+        #: What the mapping held before it last was full: frequent words come back from there.
+        self.older: dict[str, float] = {}
+        #: Words of both that are marked, and marks of words too long to keep.
+        self.marked: dict[str, float] = {}
+        self.marked_words: set[str] = set()
+        self.long_marks: list[float] = []
         self.spans: dict[str, str] = {}
 
     def restored(self, span: str) -> str:
@@ -252,38 +285,58 @@ class Scorer:
         return out
 
     def plain(self, word: str) -> float:
+        if word[:4] not in self.starts:
+            return NO_MARK
         return max((self.odds.get(f, NO_MARK) for f in features(word)), default=NO_MARK)
 
     def word(self, raw: str) -> tuple[float, float]:
         """(odds of the strongest feature, log ratio) of a word as it stands."""
-        letters = raw.isalpha()  # then it has no edges and no signs
-        w = raw if letters else core(raw)
+        whole = raw if raw.isalpha() else raw.strip(PLAIN_EDGES)
+        letters = whole.isalpha()  # then it has no signs
+        if letters and whole[:4] not in self.starts and _TWICE.search(whole) is None:
+            return NO_MARK, self.ratio[bucket(whole)]
+        w = whole if letters else core(whole)
         best, reading = self.plain(w), w
         if best < 0 and disguised(w):
             found = self.restored(w).split()
             best = max([best, *map(self.plain, found)])
             reading = found[0] if len(found) == 1 else w
-        if best < 0 and not letters and _EDGE_SIGN.search(whole := raw.strip(PLAIN_EDGES)) and _LETTER.search(whole):
+        if best < 0 and not letters and _EDGE_SIGN.search(whole) and _LETTER.search(whole):
             # a sign at the edge may be a letter or not; only whole words count here
             best = max([best, *(self.odds.get(x, NO_MARK) for x in self.restored(whole).split())])
-        out = best, self.ratio[bucket(reading)] if reading else 0.0
-        if len(raw) <= SHORT_SPAN:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            self.words[raw] = out
-        return out
+        return best, self.ratio[bucket(reading)] if reading else 0.0
+
+    def __missing__(self, raw: str) -> float:
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        if (ratio := self.older.get(raw)) is not None:
+            self[raw] = ratio
+            return ratio
+        odds, ratio = self.word(raw)
+        if len(raw) > SHORT_SPAN:
+            if odds > 0:
+                self.long_marks.append(odds)
+            return ratio
+        if odds > 0:
+            self.marked[raw] = odds
+            self.marked_words.add(raw)
+        self[raw] = ratio
+        return ratio
 
     def text(self, text: str) -> float:
         """Log odds of the restored text."""
-        text, known = text.lower(), self.words
-        marks, total, n = [], 0.0, 0
-        for w in set(text.split()):
-            odds, ratio = known.get(w) or self.word(w)
-            if odds > 0:
-                marks.append(odds)
-            total += ratio
-            n += 1
-        if not marks:
+        if len(self.marked) > CACHE_WORDS:
+            self.clear()
+            self.older = {}
+            self.marked.clear()
+            self.marked_words.clear()
+        text = text.lower()
+        words = set(text.split())
+        self.long_marks.clear()
+        total = math.fsum(map(self.__getitem__, words))
+        marks = [self.marked[w] for w in words & self.marked_words] + self.long_marks
+        if not marks and may_be_spaced(text):
             for m in _SPACED.finditer(text):
                 span = m.group()
                 if _LETTER.search(span):
@@ -293,8 +346,8 @@ class Scorer:
                     marks += [x for part in parts if (x := max(map(self.plain, self.restored(part).split()), default=NO_MARK)) > 0]
         if marks:
             best = max(marks)
-            return best + MORE * (sum(marks) - best)
-        return min(max(NO_MARK + GRADE * total / n, LOWEST), HIGHEST) if n else NO_MARK
+            return best + MORE * (math.fsum(marks) - best)
+        return min(max(NO_MARK + GRADE * total / len(words), LOWEST), HIGHEST) if words else NO_MARK
 
     def clean(self, text: str) -> str:
         """The restored text itself."""

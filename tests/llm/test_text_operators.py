@@ -301,6 +301,20 @@ def test_held_out_accuracy(spark):
     assert hit > 0.85 and false < 0.02  # some junk texts are labelled toxic
 
 
+def test_no_spaced_span_is_passed_over():
+    rng = random.Random(4)
+    for _ in range(50_000):
+        text = "".join(rng.choices("aé漢𝒳ß .-1@$!|,~x\nZ", k=rng.randint(0, 14)))
+        assert toxicity.may_be_spaced(text) or not toxicity._SPACED.search(text), text
+
+
+def test_scores_do_not_depend_on_what_was_cached(learned, monkeypatch):
+    texts = ["you 1d10t of the house", "a m0r0n and !diot", "the house of worthless men", "x" * 100 + " idiooooot", "", "c l o w n"] * 3
+    fresh = [toxicity.Scorer.text(learned, t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 4)
+    assert [learned.text(t) for t in texts] == fresh
+
+
 def test_lattice_decoding_equals_brute_force(learned):
     """Viterbi's reading is at least as likely as any other path of the lattice."""
     from itertools import product
