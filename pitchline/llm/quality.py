@@ -2,11 +2,12 @@
 trusted documents and that of the whole corpus, length-normalised, with one
 threshold for every document, besides exact counts of repetition and symbols.
 
-Two passes over whole texts, each one narrow Arrow map: the first counts hashed
-words and word pairs (raw corpus: all rows; target: trusted rows) into
-``BUCKETS`` cells, summed by Spark, at most ``BUCKETS`` rows to the driver; the
-second scores. Only the trusted ids and the threshold come from labels, on a
-sample of at most ``MAX_LABELLED`` labelled rows taken by hash of the id.
+Passes over whole texts, each one narrow Arrow map: hashed words and word pairs are
+counted (raw corpus: all rows; target: all trusted rows) into ``BUCKETS`` cells, summed
+by Spark, at most ``BUCKETS`` rows to the driver; then texts are scored. Labels are
+used whole: by hash of the id one half of all labelled documents teaches the target,
+and all documents of the other half set the threshold. Labelled ids are met by
+:func:`labelled_texts`, never collected, and the threshold is found in Spark.
 
 Defined cases: null or empty text has no words, so ``base_failed``; rows that
 repeat are judged alike; a null id is kept as null; without labels (empty, or one
@@ -19,13 +20,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, paired, table, texts_of, tidied
+from ..operators.ordering import ranged
+from . import common
+from .common import WordHashes, joined, paired, release, staged, table, texts_of, tidied
 
 BUCKETS = 1 << 14
-MAX_LABELLED = 40_000
+#: Words of 64 bits in the filter of labelled ids (2 MB of bits).
+FILTER_WORDS = 1 << 18
+#: What a good document weighs in the threshold, against a bad one.
+GOOD_WEIGHT = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
@@ -70,15 +76,21 @@ def features(h: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, raw, target = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    hashes, total = WordHashes(), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for text, trusted in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
-            n = np.bincount(features(hashes.of(text.split())), minlength=BUCKETS)
-            raw += n
-            if trusted:
-                target += n
-    full = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(raw[full]), pa.array(target[full])], ["cell", "raw", "target"])
+        for text in texts_of(b.column(0)):
+            total += np.bincount(features(hashes.of(text.split())), minlength=BUCKETS)
+    full = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
+
+
+def cells(texts: DataFrame) -> np.ndarray:
+    """Smoothed counts of each cell over the whole of ``text``."""
+    found = texts.select("text").mapInArrow(tidied(_counts), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
+    out = np.full(BUCKETS, SMOOTHING)
+    for c in found:
+        out[c.cell] += c.n
+    return out
 
 
 def _scorer(ratio: np.ndarray | None) -> Callable:
@@ -107,49 +119,78 @@ def _scorer(ratio: np.ndarray | None) -> Callable:
 SCORED = "doc_id {id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
-def labelled_sample(labels: DataFrame, at_most: int = MAX_LABELLED) -> DataFrame:
-    """At most so many labelled rows: the smallest hashes of the id, so the same each
-    time. ``fold`` 0 teaches the target, 1 sets the threshold."""
+def labelled_folds(labels: DataFrame) -> DataFrame:
+    """Every labelled id once. By hash of the id ``fold`` 0 teaches the target, 1 sets the
+    threshold."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    one = one.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(at_most)
-    return one.select("doc_id", "quality", F.pmod("h", F.lit(2)).cast("int").alias("fold"))
-
-
-def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the most balanced accuracy; good documents weigh five times, and of
-    equal cuts the middle of the widest gap counts."""
-    values = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[values[0] - 1.0], (values[1:] + values[:-1]) / 2])
-    gap = np.concatenate([[0.0], np.diff(values)])
-    gain = 5 * (1 - np.searchsorted(np.sort(good), cuts) / len(good)) + np.searchsorted(np.sort(bad), cuts) / len(bad)
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float(cuts[best[np.argmax(gap[best])]])
+    return one.select("doc_id", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"))
+
+
+#: Earlier name; nothing is sampled any more.
+labelled_sample = labelled_folds
+
+
+def labelled_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with an id in ``rows`` (staged, unique by doc_id), with the
+    columns of ``rows``. Few ids are broadcast. Of many, a filter of fixed size goes
+    ahead: it lets all their texts pass and, the more ids there are, some others; only
+    those texts are shuffled, and the join is exact."""
+    if rows.count() > common.BROADCAST_ROWS:
+        word, bit = (F.expr(x) for x in (f"pmod(shiftright(xxhash64(doc_id), 6), {FILTER_WORDS})", "shiftleft(1L, cast(xxhash64(doc_id) & 63 AS int))"))
+        bits = rows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # at most FILTER_WORDS rows
+        flagged = docs.select("doc_id", "text", word.alias("at"), bit.alias("bit"))
+        docs = flagged.join(F.broadcast(bits), (F.col("at") == F.col("word")) & (F.col("bit").bitwiseAND(F.col("bits")) != 0), "left_semi").select("doc_id", "text")
+    return joined(docs, rows, ["doc_id"], "inner", salt=F.xxhash64("text"))
+
+
+def threshold(seen: DataFrame) -> float | None:
+    """The cut of (score, quality 0 or 1, a row for each document) with the most balanced
+    accuracy; good documents weigh five times, and of equal cuts the middle of the
+    widest gap counts. None without both kinds. No task holds more than a range of the
+    distinct scores."""
+    values = seen.groupBy("score").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
+    values = ranged(values, ["score"], "scores")
+    parts = values.groupBy("_part").agg(F.sum("good").alias("p_good"), F.sum("bad").alias("p_bad"), F.max("score").alias("p_last"))  # a row for each range
+    total = parts.agg(F.sum("p_good").alias("good"), F.sum("p_bad").alias("bad")).first()
+    if not total.good or not total.bad:
+        release(values)
+        return None
+    whole = Window.orderBy("_part")
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("p_good", "p_bad")), F.lag("p_last").over(whole).alias("p_last"))
+    inside = Window.partitionBy("_part").orderBy("score")
+    lesser = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = values.select("_part", "score", *(F.coalesce(F.sum(c).over(lesser), F.lit(0)).alias(c) for c in ("good", "bad")), F.lag("score").over(inside).alias("last"))
+    rows = rows.join(F.broadcast(parts), "_part")
+    below = {c: (F.col(c) + F.col(f"p_{c}")).cast("decimal(18,0)") for c in ("good", "bad")}
+    gain = below["bad"] * F.lit(total.good).cast("decimal(18,0)") - F.lit(GOOD_WEIGHT) * below["good"] * F.lit(total.bad).cast("decimal(18,0)")
+    last = F.coalesce("last", "p_last")
+    middle = (last + F.col("score")) / 2
+    cut = F.when(last.isNull(), F.col("score") - 1.0).when(middle > last, middle).otherwise(F.col("score"))
+    best = rows.select(F.struct(gain.alias("gain"), F.coalesce(F.col("score") - last, F.lit(0.0)).alias("gap"), (-F.col("score")).alias("low"), cut.alias("cut")).alias("x")).agg(F.max("x").alias("x")).first().x
+    release(values)
+    return float(best.cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray | None, float | None]:
     """The log ratio of each cell and the threshold; None where labels don't tell."""
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text")
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(labels).collect()  # at most MAX_LABELLED small rows
-    trusted = {r.doc_id for r in sample if r.quality == 1 and r.fold == 0}
-    held = {r.doc_id: r.quality for r in sample if r.fold == 1}
-    if not trusted or len(set(held.values())) != 2:
-        return None, None
-    ids = spark.createDataFrame([(i,) for i in trusted], f"trusted_id {id_type}")
-    flagged = own.join(F.broadcast(ids), own.doc_id == ids.trusted_id, "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    cells = flagged.mapInArrow(tidied(_counts), "cell int, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most BUCKETS rows
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    for c in cells:
-        raw[c.cell] += c.raw
-        target[c.cell] += c.target
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    ids = spark.createDataFrame([(i,) for i in held], f"held_id {id_type}")
-    seen = own.join(F.broadcast(ids), own.doc_id == ids.held_id, "left_semi").mapInArrow(tidied(_scorer(ratio)), SCORED.format(id=id_type))
-    seen = seen.where(f"n_words >= {MIN_WORDS}").groupBy("doc_id").agg(F.max("score").alias("score")).collect()  # at most MAX_LABELLED rows
-    good = np.array([r.score for r in seen if held[r.doc_id] == 1])
-    bad = np.array([r.score for r in seen if held[r.doc_id] == 0])
-    return (ratio, threshold(good, bad)) if len(good) and len(bad) else (None, None)
+    known = labelled_folds(labels.select(F.col("doc_id").try_cast(own.schema["doc_id"].dataType).alias("doc_id"), "quality"))
+    trusted = staged(known.where("fold = 0 AND quality = 1").select("doc_id"), "trusted")
+    held = staged(known.where("fold = 1 AND quality IN (0, 1)").select("doc_id", "quality"), "held")
+    try:
+        if trusted.isEmpty() or held.agg(F.count_distinct("quality")).first()[0] < 2:
+            return None, None
+        raw, target = cells(own), cells(labelled_texts(own, trusted))
+        ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+        texts = labelled_texts(own, held).select(F.struct("doc_id", "quality").alias("doc_id"), "text")
+        seen = texts.mapInArrow(tidied(_scorer(ratio)), SCORED.format(id=texts.schema["doc_id"].dataType.simpleString()))
+        seen = seen.where(f"n_words >= {MIN_WORDS}").groupBy("doc_id").agg(F.max("score").alias("score")).select("score", "doc_id.quality")
+        cut = threshold(seen)
+        return (None, None) if cut is None else (ratio, cut)
+    finally:
+        release(trusted)
+        release(held)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers as T
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitchline.llm import bpe, quality, scoring, token_counts, toxicity
+from pitchline.llm import bpe, common, quality, scoring, token_counts, toxicity
 
 PIECES, WORDS = T.path("piece_bpe_32k.model"), T.path("word_bpe_49k.json")
 
@@ -273,6 +274,50 @@ def test_quality_ratio_and_edges(spark, edge_docs, no_docs, no_labels):
     assert np.mean([r.kept == (r.doc_id % 3 > 0) for r in out]) > 0.95
 
 
+def brute_threshold(good, bad):
+    values = sorted({*good, *bad})
+    cuts = [(values[0] - 1.0, 0.0), *(((x + y) / 2, y - x) for x, y in zip(values, values[1:]))]
+    gain = lambda c: len(good) * sum(x < c for x in bad) - 5 * len(bad) * sum(x < c for x in good)
+    most = max(gain(c) for c, _ in cuts)
+    return max(((gap, -c) for c, gap in cuts if gain(c) == most))[1] * -1
+
+
+def test_quality_threshold_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    for n, steps in ((400, 1000), (300, 7), (60, 1), (2, 50)):
+        data = [(float(np.round(rng.normal(k % 2, 1) * steps) / steps), k % 2) for k in range(n)]
+        good, bad = ([x for x, q in data if q == y] for y in (1, 0))
+        got = quality.threshold(spark.createDataFrame(data, "score double, quality int").repartition(5))
+        assert got == pytest.approx(brute_threshold(good, bad), abs=1e-12)
+    assert quality.threshold(spark.createDataFrame([(0.5, 1)], "score double, quality int")) is None
+
+
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    n = 41_500  # more than were once taken
+    ids = spark.range(n).select(F.col("id").alias("doc_id"))
+    word = F.expr("CASE WHEN doc_id % 3 > 0 THEN 'good fine' ELSE 'bad poor' END")
+    docs = ids.select("doc_id", F.concat_ws(" ", word, F.lit("a b c d e f g h"), F.concat(F.lit("w"), F.col("doc_id") % 50)).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "good"), (10**9, "bad")], "doc_id long, text string"))  # repeats, no id, no label
+    labels = ids.select("doc_id", F.expr("int(doc_id % 3 > 0)").alias("quality"))
+    labels = labels.unionByName(spark.createDataFrame([(10**10, 1), (None, 1), (10**9, None)], "doc_id long, quality int"))
+    fold = {r.doc_id: r.fold for r in quality.labelled_sample(labels).collect()}
+    assert len(fold) == n + 1
+    hashes = quality.WordHashes()
+    raw, target = (np.full(quality.BUCKETS, quality.SMOOTHING) for _ in range(2))
+    for i, text in docs.collect():
+        cells = quality.features(hashes.of(text.encode().split()))
+        np.add.at(raw, cells, 1)
+        if i is not None and i < n and fold[i] == 0 and i % 3 > 0:
+            np.add.at(target, cells, 1)
+    ratio, cut = quality.fit(docs, labels)
+    assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=1e-12, atol=1e-12)
+    scores = {(i, float(ratio[quality.features(hashes.of(text.encode().split()))].mean())) for i, text in docs.collect() if fold.get(i) == 1}
+    good, bad = (sorted({s for i, s in scores if (i % 3 > 0) == y}) for y in (True, False))
+    assert bad[-1] < cut < good[0] and cut == pytest.approx((bad[-1] + good[0]) / 2, abs=1e-12)
+
+
 # toxicity
 
 
