@@ -14,6 +14,10 @@ ranks of slots are two-level prefix sums, so no task holds a source; points meet
 sources by an equi-join on cells of the unit interval. Points have 32 bits: after 2^32
 slots they come again, as evenly as before.
 
+Hits, ranks, takes and the places of parts are narrow tables staged in turn: each is
+worked out once, and the driver never plans the mix as one query, whose plan it would
+describe anew for each finished stage.
+
 Defined cases: a null text has no words; null sources are one source, the last; null
 ids are kept; documents without words take 0; rows that repeat are separate rows;
 empty tables give an empty result. The order of streams is a hash of id and text, so
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, joined, prefix_sums, staged, table, whole_rows
+from .common import WORD, joined, prefix_sums, release, staged, table, whole_rows
 
 MAX_REPEATS = 3
 #: Words of a slot.
@@ -63,8 +67,8 @@ def golden_point(i: Column) -> Column:
 
 
 def schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> DataFrame:
-    """(skey, rank, slot): which source each slot takes from, ranked by source; also
-    the slots that round-off leaves out, at the end (slot null)."""
+    """(skey, rank, slot), staged: which source each slot takes from, ranked by source;
+    without the slots that round-off leaves out."""
     order = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
     bounds = targets.where("words > 0").withColumn("to", F.sum("words").over(order)).withColumn("all", F.sum("words").over(Window.partitionBy()))
     unit = F.lit(float(1 << 32))
@@ -72,11 +76,14 @@ def schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> DataFrame
     width = (1 << 32) // CELLS
     bounds = bounds.where("from_x < to_x").select("*", F.explode(F.sequence(F.expr(f"from_x div {width}"), F.expr(f"(to_x - 1) div {width}"))).alias("cell"))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("x")).withColumn("cell", F.expr(f"x div {width}"))
-    hit = slots.join(bounds, "cell").where("x >= from_x AND x < to_x").select("skey", "slot", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    hit = staged(slots.join(bounds, "cell").where("x >= from_x AND x < to_x").select("skey", "slot", F.expr(f"slot div {CHUNK}").alias("chunk")), "mix-hits")
     chunks = hit.groupBy("skey", "chunk").agg(F.count("*").alias("n")).withColumn("coarse", F.expr("chunk div 1024"))
-    chunks = prefix_sums(chunks, ["skey"], "coarse", "chunk", ["n"]).select("skey", "chunk", "before_n")
+    chunks = staged(prefix_sums(chunks, ["skey"], "coarse", "chunk", ["n"]).select("skey", "chunk", "before_n"), "mix-chunks")
     inside = Window.partitionBy("skey", "chunk").orderBy("slot")
-    return hit.join(chunks, ["skey", "chunk"]).select("skey", "slot", (F.col("before_n") + F.row_number().over(inside) - 1).alias("rank"))
+    ranked = staged(hit.join(chunks, ["skey", "chunk"]).select("skey", "slot", (F.col("before_n") + F.row_number().over(inside) - 1).alias("rank")), "mix-slots")
+    release(hit)
+    release(chunks)
+    return ranked
 
 
 def streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     parts_of = targets.select("skey", F.ceil(F.col("n_docs") / per_part).cast("long").alias("parts"))
     rows = sizes.join(F.broadcast(parts_of), "skey").withColumn("part", F.pmod("order", "parts")).drop("parts")
     parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).withColumn("coarse", F.expr("part div 1024"))
-    parts = prefix_sums(parts, ["skey"], "coarse", "part", ["words", "docs"]).select("skey", "part", "before_words", "before_docs")
+    parts = staged(prefix_sums(parts, ["skey"], "coarse", "part", ["words", "docs"]).select("skey", "part", "before_words", "before_docs"), "mix-parts")
     inside = Window.partitionBy("skey", "part").orderBy("order", "doc_id", "size", "h")
     return rows.join(parts, ["skey", "part"]).select(
         "skey", "doc_id", "size", "h",
@@ -125,6 +132,8 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     cut = F.when(F.expr("rank div per_epoch") == F.col("epochs"), F.least(F.lit(block), F.col("rest") - in_epoch * block)).otherwise(F.lit(block))
     # whole takes, and the words of a last, cut take
     takes = taken.select("skey", "slot", in_epoch.alias("block"), cut.alias("words")).groupBy("skey", "block").agg(F.min("slot").alias("slot"), F.count_if(F.col("words") == block).alias("whole"), F.coalesce(F.sum(F.when(F.col("words") < block, F.col("words"))), F.lit(0)).alias("part"))
+    takes = staged(takes, "mix-blocks")
+    release(slots)
     pieces = streams(sizes.drop("source"), targets).select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))).alias("block"))
     begin = F.col("block") * block
     overlap = F.least(F.col("start") + F.col("size"), begin + block) - F.greatest("start", begin)

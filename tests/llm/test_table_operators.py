@@ -151,6 +151,22 @@ def test_schedule_is_even(spark):
         assert [rank for _, rank in own] == list(range(len(own)))
 
 
+def test_no_query_of_the_mix_is_large(spark, sf_dir, monkeypatch):
+    """The driver holds each query's plan, again for every stage that ends."""
+    sizes, staged = [], mixing.staged
+
+    def seen(df, tag="whole"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sizes.append((tag, plan.count("Exchange "), plan.count("Window [")))
+        return df
+
+    monkeypatch.setattr(mixing, "staged", lambda df, tag: staged(seen(df, tag), tag))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = seen(mixing.mixed_documents(docs))
+    assert len(sizes) > 3 and out.count() > 0
+    assert all(exchanges <= 10 and windows <= 6 for _, exchanges, windows in sizes), sizes
+
+
 # WARC
 
 
